@@ -17,6 +17,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from astrolith.llm.pii import personal_spans, span_text
+
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", span_text("spans").alias("spans"))
+
+
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from astrolith.llm.suffixdedup import dedup_digest
 
@@ -31,7 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op6_suffixes, op9_minhash, op10_packing)
+    found = (op5_pii, op6_suffixes, op9_minhash, op10_packing)
     return {f.__name__: f for f in found}
 
 
