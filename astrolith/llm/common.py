@@ -41,6 +41,10 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
 
 
+#: Names of columns that operators put beside a caller's own for a while.
+KEY, SPANS = "__row_key", "__spans"
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.common import materialise, row_key, text_chunks
+from astrolith.llm.common import KEY, SPANS, materialise, row_key, text_chunks
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
@@ -202,7 +202,7 @@ def _rewrite(names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", STEP_BYTES):
-            texts = [clean(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+            texts = [clean(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column(SPANS).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else batch.column(k) for k in names], names=names)
 
     return run
@@ -212,5 +212,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns: base spans become labels, disclosing terms are generalised
     or removed. Texts without spans stay as they are."""
     names = docs.columns
-    spans = personal_spans(docs.select("doc_id", "text")).where("size(spans) > 0").dropDuplicates(["uid"]).select("uid", "spans")
-    return docs.withColumn("uid", row_key()).join(spans, "uid", "left").select(*names, "spans").mapInArrow(_rewrite(names), docs.schema)
+    spans = personal_spans(docs.select("doc_id", "text")).where("size(spans) > 0").dropDuplicates(["uid"]).select(F.col("uid").alias(KEY), F.col("spans").alias(SPANS))
+    return docs.withColumn(KEY, row_key()).join(spans, KEY, "left").select(*names, SPANS).mapInArrow(_rewrite(names), docs.schema)

@@ -30,6 +30,24 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from astrolith.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from astrolith.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"))
+
+
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from astrolith.llm.cotrain import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from astrolith.llm.maxscore import top_inner
 
@@ -66,7 +84,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_maxscore, op5_pii, op6_suffixes, op7_ring, op8_ivfpq, op9_minhash, op10_packing)
+    found = (op1_crf, op2_maxscore, op3_pieces, op4_cotraining, op5_pii, op6_suffixes, op7_ring, op8_ivfpq, op9_minhash, op10_packing)
     return {f.__name__: f for f in found}
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.common import joined_bytes, materialise, mix, row_key, text_chunks, words_at
+from astrolith.llm.common import KEY, SPANS, joined_bytes, materialise, mix, row_key, text_chunks, words_at
 from astrolith.llm.suffixes import repeated_starts
 
 DEPTH = 400
@@ -173,7 +173,7 @@ def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[int], list[i
     """Each text's bytes with the merged ranges to remove."""
     data, offsets = joined_bytes(batch.column("text"))
     view = memoryview(np.ascontiguousarray(data))
-    spans = batch.column("spans")
+    spans = batch.column(SPANS)
     flat = spans.flatten()
     s, e = flat.field("s").to_numpy(), flat.field("e").to_numpy()
     begin = 0
@@ -224,8 +224,8 @@ def _strip(names: list[str]):
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("uid", row_key())
-    return keyed.join(repeated_spans(keyed), "uid", "left")
+    keyed = docs.withColumn(KEY, row_key())
+    return keyed.join(repeated_spans(keyed.select(F.col(KEY).alias("uid"), "text")).toDF(KEY, SPANS), KEY, "left")
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     all copies lose what repeats, as every copy has its strings elsewhere too.
     """
     both = _with_spans(docs.select("doc_id", "text"))
-    return both.select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.select("doc_id", "text", SPANS).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
@@ -243,4 +243,4 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     character: one that lies partly outside a range stays. A null text stays null."""
     names = docs.columns
     both = _with_spans(docs)
-    return both.select(*names, "spans").mapInArrow(_strip(names), docs.schema)
+    return both.select(*names, SPANS).mapInArrow(_strip(names), docs.schema)
