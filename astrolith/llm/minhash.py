@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.common import joined_bytes, materialise, mix, row_key, text_chunks
+from astrolith.llm.common import KEY, joined_bytes, materialise, mix, row_key, text_chunks
 from astrolith.llm.components import components
 from astrolith.llm.shingles import shingle_sets
 
@@ -20,7 +20,7 @@ BINS = 256
 #: A candidate whose signatures agree this many standard deviations below the threshold is no link.
 SIGMAS = 5.5
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 1024
 #: Bytes of text that one step of a Python worker holds.
 STEP_BYTES = 2 << 20
 
@@ -113,48 +113,89 @@ def confirmed(edges: DataFrame, texts: DataFrame, percent: int, per_task: int =
     return hubs.unionByName(member).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).select("hub", "member", "text").mapInArrow(_confirm(percent), "u long, v long")
 
 
-def _near(percent: int):
-    """Pairs of one bucket's members, of unlike components, whose sketches and sizes allow a link."""
-
-    def pairs(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        left = [r for r in rows if r["side"] == 0]
-        right = [r for r in rows if r["side"] == 1] or left
-        same = right is left
-        band = rows[0]["band"]
-        cols = lambda rs: (np.stack([np.frombuffer(r["sketch"], np.uint8) for r in rs]), np.stack([np.array(r["bands"], np.int64) for r in rs]), np.array([r["n_shingles"] for r in rs], float), np.array([r["label"] for r in rs], np.int64), np.array([r["cls"] for r in rs], np.int64))
-        s1, b1, n1, l1, c1 = cols(left)
-        s2, b2, n2, l2, c2 = (s1, b1, n1, l1, c1) if same else cols(right)
-        j = percent / 100
-        for k in range(len(left)):
-            least, most = np.minimum(n2, n1[k]), np.maximum(n2, n1[k])
-            ok = (l2 != l1[k]) & (100 * least >= percent * most)
-            if same:
-                ok[: k + 1] = False
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            agree = (s2[at] == s1[k]).mean(axis=1)
-            at = at[agree >= j - SIGMAS * np.sqrt(j * (1 - j) / np.minimum(BINS, least[at]))]
-            at = at[(b2[at] == b1[k]).argmax(axis=1) == band]  # in the first bucket that the two share
-            for x in c2[at].tolist():
-                yield int(c1[k]), x
+def _candidates(rows: list[dict], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, others): for member k of a block the members, by position, of unlike components whose
+    sizes and sketches allow a link and that meet it in no earlier band."""
+    side = np.array([r["side"] for r in rows])
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    sketch = np.stack([np.frombuffer(r["sketch"], np.uint8) for r in rows])
+    bands = np.stack([np.array(r["bands"], np.int64) for r in rows])
+    size = np.array([r["n_shingles"] for r in rows], float)
+    label = np.array([r["label"] for r in rows], np.int64)
+    j = percent / 100
+    for k in left.tolist():
+        to = right[right > k] if right is left else right
+        least, most = np.minimum(size[to], size[k]), np.maximum(size[to], size[k])
+        ok = (label[to] != label[k]) & (100 * least >= percent * most)
+        to, least = to[ok], least[ok]
+        if not len(to):
+            continue
+        agree = (sketch[to] == sketch[k]).mean(axis=1)
+        to = to[agree >= j - SIGMAS * np.sqrt(j * (1 - j) / np.minimum(BINS, least))]
+        to = to[(bands[to] == bands[k]).argmax(axis=1) == rows[0]["band"]]
+        if len(to):
+            yield k, to
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[c] != held[-1][c] for c in ("key", "i", "j")):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _worth_reading(percent: int):
+    """The members of each block that have a candidate in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        found: list[tuple[int, int]] = []
-        key = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (now := (row["key"], row["i"], row["j"])) != key:
-                    found += pairs(held) if held else []
-                    key, held = now, []
-                held.append(row)
+        for rows in _blocks(batches):
+            found: set[int] = set()
+            for k, to in _candidates(rows, percent):
+                found.add(k)
+                found.update(to.tolist())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["hub", "member"])
-                found = []
-        found += pairs(held) if held else []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["hub", "member"])
+                keep = [rows[k] for k in sorted(found)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in keep], t) for c, t in zip(_BLOCK_NAMES, _BLOCK_TYPES)], names=list(_BLOCK_NAMES))
+
+    return run
+
+
+_BLOCK_NAMES = ("key", "i", "j", "side", "band", "cls")
+_BLOCK_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+
+
+def _link_blocks(percent: int):
+    """Confirmed links between components within each block, those left out that only repeat
+    what others of the block join already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            texts = pa.array([r["text"] for r in rows], pa.large_string())
+            sets = shingle_sets(*joined_bytes(texts))
+            parent = {r["label"]: r["label"] for r in rows}
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            us, vs = [], []
+            for k, to in _candidates(rows, percent):
+                for m in to.tolist():
+                    a, b = root(rows[k]["label"]), root(rows[m]["label"])
+                    if a != b and _linked(sets[k], sets[m], percent):
+                        parent[b] = a
+                        us.append(rows[k]["cls"])
+                        vs.append(rows[m]["cls"])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -163,9 +204,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(uid, doc_id, n_shingles, component_id) per row of ``docs`` (doc_id long, text string).
 
     Documents of one shingle set form a class. Classes that share a band meet in a bucket,
-    whose most central member (largest sum of bucket sizes) is compared with the others; what
-    stays in other components of that bucket is compared pair by pair on sketches, in blocks,
-    and what may still be a link is confirmed on full sets. A null text has no shingles; a
+    whose most central member (largest sum of bucket sizes) is compared with the others. What
+    stays in other components of that bucket is compared on sketches, in blocks; members
+    that may still have a link there meet once more with their texts, and links are confirmed on full
+    sets. A null text has no shingles; a
     document without shingles is a component of its own; null ids never become the
     component's id unless all of its ids are null; repeated rows get equal results. A pair
     at the threshold shares no band with probability (1 - 0.85^7)^36, below 1e-6. Classes are told
@@ -197,10 +239,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rest = labelled.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rest = rest.withColumn("own", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "band", "cls", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    rest = rest.join(faces.select("cls", "n_shingles", "bands", "sketch"), "cls")
-    pairs = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near(percent), "hub long, member long")
-    pairs = materialise(pairs.distinct().join(edges, ["hub", "member"], "left_anti"), "pairs")
-    more = materialise(confirmed(pairs, texts, percent), "links")
+    traits = faces.select("cls", "n_shingles", "bands", "sketch")
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    worth = materialise(dealt(rest.join(traits, "cls")).mapInArrow(_worth_reading(percent), "key long, i int, j int, side int, band int, cls long"), "blocks")
+    read = worth.join(traits, "cls").join(texts, "cls").join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    more = materialise(dealt(read).mapInArrow(_link_blocks(percent), "u long, v long"), "links")
     last = components(first.toDF("u", "v").unionAll(more)) if not more.isEmpty() else first
 
     ids = signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
@@ -208,3 +251,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = labels.join(labels.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id")
     own = signed.select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
     return own.join(labels, "cls", "left").select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row of each group of near-duplicates: the one whose id is the component's, and of
+    several such rows one. Documents without words are groups of their own."""
+    names = docs.columns
+    found = near_duplicates(docs, percent).where("doc_id <=> component_id")
+    alone = F.when(F.col("n_shingles") == 0, F.col("uid"))
+    keep = found.groupBy("component_id", alone.alias("alone")).agg(F.min("uid").alias(KEY)).select(KEY)
+    kept = docs.withColumn(KEY, row_key()).join(keep, KEY, "left_semi")
+    return kept.dropDuplicates([KEY]).select(*names)
