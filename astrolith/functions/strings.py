@@ -31,7 +31,7 @@ def material_key(c: Column) -> Column:
 
 def _unwrapped(c: Column, kind: str) -> Column:
     s = F.trim(c)
-    return F.when(s.startswith(f"${kind}_"), F.regexp_replace(F.regexp_replace(s, rf"^\\${kind}_", ""), ";$", "")).otherwise(s)
+    return F.when(s.startswith(f"${kind}_"), F.regexp_replace(F.regexp_replace(s, rf"^\${kind}_", ""), ";$", "")).otherwise(s)
 
 
 def split_capitals(c: Column) -> Column:
@@ -90,12 +90,12 @@ def compact(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """A comma-separated list, trimmed, without empty entries."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def symbol_set(c: Column) -> Column:
     """Lower-cased distinct symbols in order; not trimmed."""
-    return F.array_sort(F.array_distinct(F.transform(c, F.lower)))
+    return F.array_sort(F.array_distinct(F.transform(c, lambda x: F.lower(x))))
 
 
 def short_number(c: Column) -> Column:

@@ -67,7 +67,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     floor_price = F.floor(900 + p * 0.1).cast("long")
     return _read(spark, sf_dir, "lineitem").select(
         s.alias("station_id"), F.concat(F.lit("c"), p.cast("string")).alias("symbol"), (floor_price + (s * 13) % 97).alias("buy_price"), (floor_price + (s * 29) % 131).alias("sell_price"),
-        F.col("l_quantity").cast("long").alias("supply"), (F.col("l_quantity") * 20).cast("long").alias("demand"), F.col("l_shipdate").alias("observed_at"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"),
+        F.col("l_quantity").cast("long").alias("supply"), (F.col("l_quantity") * 20).cast("long").alias("demand"), F.col("l_shipdate").cast("timestamp").alias("observed_at"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"),
     )
 
 
@@ -128,7 +128,7 @@ RINGS_SQL = """rings AS (SELECT p_partkey AS body_id, 'Body '||p_partkey||' '||l
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal: one commander per user, one file per commander and day."""
     return _read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("commander"), F.col("ts"), F.date_format("ts", "yyyy-MM-dd").alias("file"), F.col("event_id").alias("offset"), F.col("event_type").alias("event"), "value",
+        F.col("user_id").alias("commander"), F.col("ts").cast("timestamp").alias("ts"), F.date_format("ts", "yyyy-MM-dd").alias("file"), F.col("event_id").alias("offset"), F.col("event_type").alias("event"), "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("props").alias("raw"),
     )
 
