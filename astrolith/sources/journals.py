@@ -54,13 +54,13 @@ def attribute_document(scores: DataFrame) -> DataFrame:
     One commander takes all; of several with exact scores none takes a document with a non-zero total,
     else all do; without exact ones the nearest does if the next is twice as far."""
     n = scores.groupBy("document").agg(
-        F.count("*").alias("all"), F.count_if(F.col("kind") == "exact").alias("exact"), F.max("total").alias("total"),
+        F.count("*").alias("all"), F.count_if(F.col("kind") == "exact").alias("exact"), F.max("total").alias("most"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "distance", F.struct("distance", "commander")))).alias("near"),
     )
     both = scores.join(n, "document")
     first, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
     nearest = (F.col("exact") == 0) & (F.col("commander") == first["commander"]) & (second.isNull() | (second["distance"] >= 2 * first["distance"]))
-    exact = (F.col("kind") == "exact") & ((F.col("exact") == 1) | (F.coalesce("total", F.lit(0)) == 0))
+    exact = (F.col("kind") == "exact") & ((F.col("exact") == 1) | (F.coalesce("most", F.lit(0)) == 0))
     return both.where((F.col("all") == 1) | exact | nearest).select("document", "commander")
 
 
