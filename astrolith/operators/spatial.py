@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,10 +45,10 @@ def grid_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, .
     wide as the radius, the right side in its own cell, the left side in that cell and its 26
     neighbours, so each pair meets once. Coordinates are x, y, z; the right side's columns get ``_r``."""
     at = lambda p, c: F.floor(F.col(p) / radius).cast("long").alias(c)
-    step = F.array(*(F.lit(v) for v in (-1, 0, 1)))
-    near = left.select("*", at("x", "gx"), at("y", "gy"), at("z", "gz"))
-    for c in ("gx", "gy", "gz"):
-        near = near.withColumn("__step", F.explode(step)).withColumn(c, F.col(c) + F.col("__step")).drop("__step")
+    step = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip("abc", s))) for s in itertools.product((-1, 0, 1), repeat=3)))
+    near = left.withColumn("__step", F.explode(step))
+    moved = [(F.floor(F.col(p) / radius).cast("long") + F.col(f"__step.{c}")).alias(n) for p, c, n in (("x", "a", "gx"), ("y", "b", "gy"), ("z", "c", "gz"))]
+    near = near.select(*left.columns, *moved)
     other = right.select(*(F.col(c) if c in on else F.col(c).alias(f"{c}_r") for c in right.columns))
     other = other.select("*", at("x_r", "gx"), at("y_r", "gy"), at("z_r", "gz"))
     pairs = near.join(other, [*on, "gx", "gy", "gz"]).drop("gx", "gy", "gz")
