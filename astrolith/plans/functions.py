@@ -19,7 +19,7 @@ def functions_strings(spark, d):
     return p.select(F.col("p_partkey").alias("id"), strings.canonical_symbol(F.concat(F.lit(" $"), under, F.lit("_Name; "))).alias("canonical"), strings.is_display_name(F.col("p_name")).alias("displayed"), strings.material_key(F.col("p_name")).alias("key"), strings.compact(F.col("p_name")).alias("compact"), strings.title_first(F.col("p_name")).alias("title"), strings.mission_kind(F.concat(F.lit("Mission_"), under)).alias("kind"), economy.alias("shown"), strings.short_number(F.col("p_partkey")).alias("short"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey%6 WHEN 0 THEN 'Neutron' WHEN 1 THEN 'WhiteDwarf' WHEN 2 THEN 'BlackHole' WHEN 3 THEN 'Proto' WHEN 4 THEN 'K' ELSE 'Exotic' END AS cls, CASE p_partkey%6 WHEN 0 THEN 4.0 WHEN 1 THEN 1.5 ELSE 1.0 END AS boost, p_partkey%6=4 AS scoop, p_partkey%6 IN (0,1,2) AS hazard FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey%6 WHEN 0 THEN 'Neutron' WHEN 1 THEN 'WhiteDwarf' WHEN 2 THEN 'BlackHole' WHEN 3 THEN 'Proto' WHEN 4 THEN 'K' ELSE 'Exotic' END AS cls, CAST(CASE p_partkey%6 WHEN 0 THEN 4.0 WHEN 1 THEN 1.5 ELSE 1.0 END AS DOUBLE) AS boost, p_partkey%6=4 AS scoop, p_partkey%6 IN (0,1,2) AS hazard FROM part")
 def functions_stars(spark, d):
     k = F.col("p_partkey") % 6
     subtype = F.when(k == 0, "Neutron Star").when(k == 1, "White Dwarf (DA) Star").when(k == 2, "Supermassive Black Hole").when(k == 3, "T Tauri Star").when(k == 4, "K (Yellow-Orange) Star").otherwise("CN Star")

@@ -34,7 +34,7 @@ def _plain(v):
         return None if math.isnan(v) else round(v, 5) + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
-    return int(v) if type(v).__name__ == "Decimal" else v
+    return (int(v) if v == int(v) else float(v)) if type(v).__name__ == "Decimal" else v
 
 
 def _sorted(names, rows):
