@@ -87,3 +87,13 @@ def words_at(data: np.ndarray, count: int | None = None) -> np.ndarray:
 
 def parts_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def least_hashes(rows: DataFrame, mark, k: int, known: int | None = None) -> DataFrame:
+    """At most ``k`` rows, those of the least values of ``mark`` (a 64-bit hash). A bound on the hash
+    that leaves about 1.5 k rows goes first, so that tasks do not each send their own k to
+    the driver. ``known``: how many rows there are, or more; counted if not given."""
+    total = rows.count() if known is None else known
+    if total > 4 * k:
+        rows = rows.where(mark < -(1 << 63) + int((1 << 64) * (1.5 * k / total)))
+    return rows.orderBy(mark).limit(k)

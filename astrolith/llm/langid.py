@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.common import text_chunks
+from astrolith.llm.common import least_hashes, text_chunks
 
 #: Labelled documents of the training sample (those of the least hashes), and letters of the passage of each.
 SAMPLE, PASSAGE = 4000, 1200
@@ -220,11 +220,12 @@ def held_out():
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     """Learn from ``sample`` labelled rows that are not held out, the ones of the least hashes:
     a bounded sample, of each row a passage at a place that the hash sets."""
-    mark = F.xxhash64("doc_id", F.length("text"))
+    mark = F.xxhash64("doc_id")
     start = F.pmod(mark, F.greatest(F.length("text") - PASSAGE, F.lit(1))).cast("int") + 1
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rows = rows.select(F.substring("text", start, F.lit(PASSAGE)).alias("text"), "lang", mark.alias("mark")).orderBy("mark", "lang", "text").limit(sample)
-    return train([(r.text, r.lang) for r in rows.collect()])
+    told = docs.where(F.col("lang").isNotNull() & ~held_out())
+    rows = told.where("text is not null").select(F.substring("text", start, F.lit(PASSAGE)).alias("text"), "lang", mark.alias("mark"))
+    picked = least_hashes(rows, F.col("mark"), sample, told.select("doc_id", "lang").count()).collect()
+    return train(sorted((r.text, r.lang) for r in picked))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
