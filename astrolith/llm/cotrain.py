@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.common import joined_bytes, text_chunks
+from astrolith.llm.common import joined_bytes, least_hashes, text_chunks
 
 #: Labelled and unlabelled rows that training reads at most (those of the least hashes).
 LABELLED, POOL = 6000, 4000
@@ -224,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     rows = docs.where("text is not null").select("doc_id", "text", "lang", "source")
     mark = F.xxhash64("doc_id")
     # ids are picked before texts are read; both picks are bounded by parameters
-    some = judged.orderBy(mark).limit(labelled)
-    rest = rows.select("doc_id").join(judged, "doc_id", "left_anti").orderBy(mark).limit(pool).select("doc_id", F.lit(None).cast("double").alias("target"))
+    some = least_hashes(judged, mark, labelled)
+    rest = least_hashes(rows.select("doc_id").join(judged, "doc_id", "left_anti"), mark, pool).select("doc_id", F.lit(None).cast("double").alias("target"))
     picked = rows.join(F.broadcast(some.unionByName(rest)), "doc_id")
     got = picked.select("text", "lang", "source", "target").mapInArrow(_featurise, "target double, content array<int>, page array<int>").toArrow()
     target = got.column("target").to_numpy()
