@@ -11,8 +11,8 @@ WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) of the texts
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased if ``fold``) of the texts
     that ``offsets`` cut ``data`` into, and the n+1 word offsets of the texts."""
     n = len(data)
     if not n:
@@ -30,7 +30,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ranks = np.searchsorted(at, starts)
     lengths = np.diff(np.append(ranks, len(at)))
     letters = data[at]
-    letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.uint64)
+    if fold:
+        letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters)
+    letters = letters.astype(np.uint64)
     place = np.arange(len(at), dtype=np.uint64) - np.repeat(ranks, lengths).astype(np.uint64)
     place *= np.uint64(256)
     place += letters

@@ -5,12 +5,15 @@ GRAM-byte windows in a string (the leftmost, on ties) depends on the string alon
 strings pick equal anchors at equal distances. Only suffixes whose anchor occurs again are
 sorted: they meet in the anchor's bucket, which ``suffixes.repeated_starts`` sorts by
 difference-cover ranks.
+
+Passages of a number of words go the same way: a text becomes the hashes of its words, eight
+bytes each, and only strings that start with a word count.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astrolith.llm.common import KEY, SPANS, joined_bytes, materialise, mix, row_key, text_chunks, words_at
+from astrolith.llm.shingles import word_hashes
 from astrolith.llm.suffixes import repeated_starts
 
 DEPTH = 400
 GRAM = 128
+#: Bytes of a word in the sequences by which passages of words are found.
+WORD = 8
 STEP_BYTES = 2 << 20
 #: Longer texts are cut into segments that overlap by DEPTH - 1 bytes; each start lies in one.
 SEGMENT = 4 << 20
@@ -68,57 +74,63 @@ def anchors(data: np.ndarray, segments: list[tuple[int, int]], depth: int = DEPT
     return first, last, anchor, x[anchor]
 
 
-def _segments(offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _segments(offsets: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[int, int, int]]:
     """(row, begin, end): texts, long ones in overlapping segments."""
     for row, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         for b in range(s, max(e, s + 1), SEGMENT):
-            yield row, b, min(e, b + SEGMENT + DEPTH - 1)
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, "text", STEP_BYTES):
-        data, offsets = joined_bytes(batch.column("text"))
-        uids = batch.column("uid").to_numpy()
-        whole = list(_segments(offsets))
-        parts = [whole] if len(data) <= 2 * SEGMENT else [[x] for x in whole]
-        for part in parts:
-            low, high = part[0][1], part[-1][2]
-            piece = data[low:high]
-            first, last, anchor, h = anchors(piece, [(s - low, e - low) for _, s, e in part])
-            view = memoryview(np.ascontiguousarray(piece))
-            reach = (anchor - first).tolist()
-            ck = np.fromiter((xxhash.xxh3_64_intdigest(view[f : g + DEPTH], r) for f, g, r in zip(first.tolist(), last.tolist(), reach)), np.uint64, len(first))
-            row = np.searchsorted(offsets, first + low, "right") - 1
+            yield row, b, min(e, b + SEGMENT + depth - 1)
+
+
+def _scan(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text", STEP_BYTES):
+            data, offsets = joined_bytes(batch.column("text"))
+            uids = batch.column("uid").to_numpy()
+            whole = list(_segments(offsets, depth))
+            parts = [whole] if len(data) <= 2 * SEGMENT else [[x] for x in whole]
+            for part in parts:
+                low, high = part[0][1], part[-1][2]
+                piece = data[low:high]
+                first, last, anchor, h = anchors(piece, [(s - low, e - low) for _, s, e in part], depth)
+                view = memoryview(np.ascontiguousarray(piece))
+                reach = (anchor - first).tolist()
+                ck = np.fromiter((xxhash.xxh3_64_intdigest(view[f : g + depth], r) for f, g, r in zip(first.tolist(), last.tolist(), reach)), np.uint64, len(first))
+                row = np.searchsorted(offsets, first + low, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uids[row]), pa.array(h.view(np.int64)), pa.array(ck.view(np.int64)), pa.array(anchor + low - offsets[row]), pa.array((anchor - first).astype(np.int32)), pa.array((anchor - last).astype(np.int32))],
+                    names=["uid", "h", "ck", "pos", "a", "b"],
+                )
+
+    return run
+
+
+def _extract(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text", STEP_BYTES):
+            data, offsets = joined_bytes(batch.column("text"))
+            wanted = batch.column("wanted")
+            flat = wanted.flatten()
+            lengths = np.diff(wanted.offsets.to_numpy()).tolist()
+            h, ck, pos, a, b = (flat.field(k).to_numpy() for k in ("h", "ck", "pos", "a", "b"))
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            begin, end = offsets[row] + pos - a, offsets[row] + pos - b + depth
+            raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uids[row]), pa.array(h.view(np.int64)), pa.array(ck.view(np.int64)), pa.array(anchor + low - offsets[row]), pa.array((anchor - first).astype(np.int32)), pa.array((anchor - last).astype(np.int32))],
-                names=["uid", "h", "ck", "pos", "a", "b"],
+                [pa.array(h), pa.array(ck), pa.array(a), pa.array(b), pa.array([raw[s:e] for s, e in zip(begin.tolist(), end.tolist())], pa.binary())],
+                names=["h", "ck", "a", "b", "context"],
             )
 
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, "text", STEP_BYTES):
-        data, offsets = joined_bytes(batch.column("text"))
-        wanted = batch.column("wanted")
-        flat = wanted.flatten()
-        lengths = np.diff(wanted.offsets.to_numpy()).tolist()
-        h, ck, pos, a, b = (flat.field(k).to_numpy() for k in ("h", "ck", "pos", "a", "b"))
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        begin, end = offsets[row] + pos - a, offsets[row] + pos - b + DEPTH
-        raw = data.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(ck), pa.array(a), pa.array(b), pa.array([raw[s:e] for s, e in zip(begin.tolist(), end.tolist())], pa.binary())],
-            names=["h", "ck", "a", "b", "context"],
-        )
+    return run
 
 
-def _sort_buckets(limit: int):
+def _sort_buckets(limit: int, depth: int):
     """Buckets, whole and about ``limit`` bytes at a time, through the suffix sorter."""
 
     def sort(rows: list[tuple]) -> pa.RecordBatch:
         h = np.array([r[0] for r in rows], np.int64)
         a, b = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
         bucket = np.unique(h, return_inverse=True)[1]
-        found = list(repeated_starts(bucket, a, [np.frombuffer(r[4], np.uint8) for r in rows], a - b + 1, DEPTH))
+        found = list(repeated_starts(bucket, a, [np.frombuffer(r[4], np.uint8) for r in rows], a - b + 1, depth))
         k = np.array([x[0] for x in found], np.int64)
         first, last = np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64)
         ck = np.array([r[1] for r in rows], np.int64)
@@ -142,10 +154,11 @@ def _sort_buckets(limit: int):
     return run
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, read: Callable = iter) -> DataFrame:
     """(uid, spans array<struct<s, e>>): for the rows of ``docs`` (uid, text) that have any, the byte
-    ranges of ``DEPTH``-byte strings that start elsewhere too; ranges may overlap."""
-    found = materialise(docs.select("uid", "text").mapInArrow(_scan, _ANCHOR), "anchors")
+    ranges of ``depth``-byte strings that start elsewhere too; ranges may overlap. ``read`` may
+    turn batches of texts into others, in the worker that scans them."""
+    found = materialise(docs.select("uid", "text").mapInArrow(lambda batches: _scan(depth)(read(batches)), _ANCHOR), "anchors")
     again = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats")
     known = materialise(found.join(again, "h"), "known")
     alike = known.groupBy("h", "ck").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
@@ -153,14 +166,52 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     mixed = alike.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
     faces = alike.join(mixed, "h").select("h", "ck", "uid")
     wanted = known.join(faces, ["h", "ck", "uid"]).groupBy("uid").agg(F.collect_list(F.struct("h", "ck", "pos", "a", "b")).alias("wanted"))
-    contexts = docs.select("uid", "text").join(wanted, "uid").select("text", "wanted").mapInArrow(_extract, "h long, ck long, a int, b int, context binary")
-    runs = contexts.repartition("h").sortWithinPartitions("h", "ck").mapInArrow(_sort_buckets(3 << 19), "h long, ck long, a2 int, b2 int")
+    contexts = docs.select("uid", "text").join(wanted, "uid").select("text", "wanted").mapInArrow(lambda batches: _extract(depth)(read(batches)), "h long, ck long, a int, b int, context binary")
+    runs = contexts.repartition("h").sortWithinPartitions("h", "ck").mapInArrow(_sort_buckets(3 << 19, depth), "h long, ck long, a2 int, b2 int")
     whole = alike.where("n > 1").select("h", "ck", F.lit(None).cast("int").alias("a2"), F.lit(None).cast("int").alias("b2"))
     runs = materialise(whole.unionByName(runs.join(whole.select("h", "ck"), ["h", "ck"], "left_anti")), "runs")
-    spans = known.join(runs, ["h", "ck"]).select("uid", (F.col("pos") - F.coalesce("a2", "a")).alias("s"), (F.col("pos") - F.coalesce("b2", "b") + DEPTH).alias("e"))
+    spans = known.join(runs, ["h", "ck"]).select("uid", (F.col("pos") - F.coalesce("a2", "a")).alias("s"), (F.col("pos") - F.coalesce("b2", "b") + depth).alias("e"))
     return spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
+def _as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_chunks(batches, "text", STEP_BYTES // 2):
+        words, bounds = word_hashes(*joined_bytes(batch.column("text")), fold=False)
+        texts = [words[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if k == "text" else batch.column(k) for k in batch.schema.names], names=batch.schema.names)
+
+
+def _word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of one text begins and ends, words as in ``word_hashes``."""
+    solid = np.concatenate([[False], ~((data == 32) | ((data >= 9) & (data <= 13))), [False]]).astype(np.int8)
+    step = np.diff(solid)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _in_bytes(words: int):
+    """Ranges over word hashes as ranges of the texts' bytes; starts inside a hash are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text", STEP_BYTES):
+            data, offsets = joined_bytes(batch.column("text"))
+            out = []
+            for k, spans in enumerate(batch.column("spans").to_pylist()):
+                begin, end = _word_bounds(data[offsets[k] : offsets[k + 1]])
+                runs = ((-(-x["s"] // WORD), x["e"] // WORD - words) for x in spans)
+                out.append([{"s": int(begin[a]), "e": int(end[b + words - 1])} for a, b in runs if a <= b])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], names=["uid", "spans"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
+    """(uid, spans) as of ``repeated_spans``, for passages of ``words`` words and more that start
+    elsewhere too, however the space between their words is written. Words are told apart by 64 bits."""
+    docs = docs.select("uid", "text")
+    found = repeated_spans(docs, words * WORD, _as_words)
+    return docs.join(found, "uid").mapInArrow(_in_bytes(words), "uid long, spans array<struct<s: long, e: long>>")
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of ranges; ranges that touch are one run."""
     order = np.argsort(starts, kind="stable")
@@ -223,9 +274,13 @@ def _strip(names: list[str]):
     return run
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, words: int | None = None) -> DataFrame:
     keyed = docs.withColumn(KEY, row_key())
-    return keyed.join(repeated_spans(keyed.select(F.col(KEY).alias("uid"), "text")).toDF(KEY, SPANS), KEY, "left")
+    texts = keyed.select(F.col(KEY).alias("uid"), "text")
+    spans = repeated_spans(texts)
+    if words:
+        spans = spans.unionByName(repeated_passages(texts, words)).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans")).where("size(spans) > 0")
+    return keyed.join(spans.toDF(KEY, SPANS), KEY, "left")
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -238,9 +293,10 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "text", SPANS).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns, repeated strings cut from the texts. A cut never splits a
+def strip_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """``docs`` with its columns, repeated strings of ``DEPTH`` bytes cut from the texts, and if
+    ``words`` is given also repeated passages of so many words, which may be shorter. A cut never splits a
     character: one that lies partly outside a range stays. A null text stays null."""
     names = docs.columns
-    both = _with_spans(docs)
+    both = _with_spans(docs, words)
     return both.select(*names, SPANS).mapInArrow(_strip(names), docs.schema)

@@ -18,6 +18,10 @@ from astrolith.llm.pii import sanitise
 from astrolith.llm.suffixdedup import strip_repeats
 
 
+#: Words of the shortest passage that may not stand twice: all over 50.
+PASSAGE = 51
+
+
 def _resized(docs: DataFrame) -> DataFrame:
     """n_chars follows the changed texts."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -32,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _resized(strip_repeats(docs))
+    return _resized(strip_repeats(docs, PASSAGE))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

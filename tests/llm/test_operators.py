@@ -64,6 +64,26 @@ def test_repeats_against_all_strings(spark):
     assert stripped[100] == "" and stripped[106] is None and stripped[105] == texts[105]
 
 
+def test_short_worded_passages_go(spark, small):
+    """A passage of 51 short words that two documents share goes; one of 50 words stays."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    own = lambda n: [f"{rng.randrange(36**5):x}" for _ in range(n)]
+    passage, shorter = ([rng.choice("abcdefgh") + rng.choice("klmnop") for _ in range(n)] for n in (51, 50))
+    rows, want = [], []
+    for k, gap in enumerate((" ", "\n")):
+        a, b, c = own(40), own(30), own(20)
+        rows.append((k, " ".join([*a, gap.join(passage), *b, gap.join(shorter), *c]), "en", "a", 0))
+        want.append([*a, *b, *shorter, *c])
+    rows.append((2, "日本語" * 200, "ja", "a", 0))
+    rows.append((3, "x" + "日本語" * 140, "ja", "a", 0))  # few words, but over 400 bytes
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, small).collect()}
+    assert len(" ".join(passage)) < 160 and [got[k].text.split() for k in range(2)] == want
+    assert len(got[2].text) < 5 and got[3].text == "x" and got[0].n_chars == len(got[0].text)
+
+
 def test_long_texts_go_in_segments(spark, monkeypatch):
     rng = random.Random(4)
     a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (3000, 2500))
