@@ -201,7 +201,7 @@ def _link_blocks(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(uid, doc_id, n_shingles, component_id) per row of ``docs`` (doc_id long, text string).
+    """(uid, doc_id, n_shingles, component_id, label) per row of ``docs`` (doc_id long, text string).
 
     Documents of one shingle set form a class. Classes that share a band meet in a bucket,
     whose most central member (largest sum of bucket sizes) is compared with the others. What
@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     that may still have a link there meet once more with their texts, and links are confirmed on full
     sets. A null text has no shingles; a
     document without shingles is a component of its own; null ids never become the
-    component's id unless all of its ids are null; repeated rows get equal results. A pair
+    component's id unless all of its ids are null; repeated rows get equal results. Ids may be null or
+    stand in several components; ``label`` (null without shingles) is the component's own. A pair
     at the threshold shares no band with probability (1 - 0.85^7)^36, below 1e-6. Classes are told
     apart by 64 bits.
     """
@@ -248,9 +249,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     ids = signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     labels = ids.join(last.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labels = labels.join(labels.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id")
+    labels = labels.join(labels.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id", "label")
     own = signed.select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
-    return own.join(labels, "cls", "left").select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return own.join(labels, "cls", "left").select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -259,6 +260,6 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     names = docs.columns
     found = near_duplicates(docs, percent).where("doc_id <=> component_id")
     alone = F.when(F.col("n_shingles") == 0, F.col("uid"))
-    keep = found.groupBy("component_id", alone.alias("alone")).agg(F.min("uid").alias(KEY)).select(KEY)
+    keep = found.groupBy("label", alone.alias("alone")).agg(F.min("uid").alias(KEY)).select(KEY)
     kept = docs.withColumn(KEY, row_key()).join(keep, KEY, "left_semi")
     return kept.dropDuplicates([KEY]).select(*names)

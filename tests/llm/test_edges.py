@@ -49,6 +49,15 @@ def test_stages_keep_columns(spark, stage):
         assert len(rows) == len(ROWS)
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    """Components are told apart by their own label, whatever the ids of their rows."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(30))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("c")), (None, text("d")), (8, text("c")), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in minhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (None, None), (9, "")], key=str)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(5, 1, 0), (6, 1, None), (8, 0, 0), (10, 0, 1), (None, 1, 0), (11, None, 0)], LABELS)
     rows = {r.doc_id: r for r in cotrain.quality(documents(spark), labels).collect()}
