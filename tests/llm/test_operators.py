@@ -132,6 +132,24 @@ def test_near_duplicates_against_all_pairs(spark, texts):
     assert rows == _plain_components(more)
 
 
+def test_near_duplicates_stage_against_all_pairs(spark, texts, small):
+    """Copies of a similarity from 0.80 go, not only those from 0.85."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    more = dict(texts)
+    for k in range(40):  # pairs of which one has 1 to 10 changed words: 0.73 to 0.97 similar
+        words = [f"p{k}x{j}" for j in range(160)]
+        more[30_000 + k] = " ".join(words)
+        for at in rng.sample(range(10, 150, 14), 1 + k % 10):
+            words[at] = f"u{rng.randrange(10**6)}"
+        more[40_000 + k] = " ".join(words)
+    docs = spark.createDataFrame(list(more.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, small).collect()}
+    assert kept == {root for _, root in _plain_components(more, 80).values()}
+    assert len(kept) < len({root for _, root in _plain_components(more).values()})
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(205, 203), (203, 204)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
