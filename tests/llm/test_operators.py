@@ -304,6 +304,29 @@ def test_searches(spark, small):
     assert hits >= 0.9 * total
 
 
+def test_search_among_equal_vectors(spark):
+    """With a third of the rows equal, a third copies of some vectors and scaled copies of one."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1800, 8))
+    x[rng.permutation(1800)[:600]] = x[0]
+    x[rng.permutation(1800)[:600]] = x[rng.integers(1, 40, 600)]
+    x[700:1000] = x[1] * 2.0 ** rng.integers(-3, 4, 300)[:, None]
+    ids = rng.permutation(1800)
+    v = spark.createDataFrame([(int(k), r.tolist()) for k, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in sorted(ivfpq.nearest(v, every=20).collect(), key=lambda r: r["rank"]):
+        found[r.query_id].append(r.vec_id)
+    hits = total = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        score = ivfpq.cosine(x[k], x)
+        want = [ids[j] for j in np.lexsort([ids, -score]) if j != k][:5]
+        total += 5
+        hits += len(set(want) & set(found[ids[k]]))
+        if (x == x[k]).all(axis=1).sum() > 5 and not np.isclose(score, 1)[(x != x[k]).any(axis=1)].any():
+            assert found[ids[k]] == want
+    assert hits >= 0.9 * total
+
+
 def test_maxscore_skips_only_what_cannot_compete():
     rng = np.random.default_rng(2)
     shard = maxscore.Shard(np.arange(6000), np.floor(64 * rng.normal(size=(6000, 16))))
