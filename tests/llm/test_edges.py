@@ -1,5 +1,6 @@
 """Nulls, blanks, long texts, repeated rows, clashing columns and empty tables in every operator."""
 
+import math
 import zlib
 
 import pytest
@@ -87,6 +88,15 @@ def test_vector_edges(spark):
     assert maxscore.top_inner(none).collect() == [] and ivfpq.nearest(none).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 8, 12, 30])
+def test_few_vectors_are_all_found(spark, n):
+    """Every query gets k rows, or all others where there are fewer, whatever lists they lie in."""
+    rows = [(k, [math.cos(2.4 * k), math.sin(2.4 * k)]) for k in range(n)] + [(0, [0.1 * k, 1.0]) for k in range(4)]
+    near = ivfpq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).collect()
+    count = {k: sum(r.query_id == k for r in near) for k in range(n)}
+    assert count == {k: min(5, sum(r[0] != k for r in rows)) for k in range(n)}
+
+
 def test_packed_ids_lie_in_one_piece(spark):
     rows = packing.pack_binary(documents(spark)).collect()
     assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 for r in rows)
