@@ -3,14 +3,15 @@
 A term t discloses the protected value e by its pointwise mutual information with it,
 ``log2(n(e,t) * N / (n(e) * n(t)))``, estimated from co-occurrence over all documents. The
 value's own information is ``log2(N / n(e))``; a term that conveys at least ``GENERALISE``
-of it around e is replaced by a general label, from ``REMOVE`` on it is cut out.
+of it is replaced by a general label wherever it stands in a document that holds e, from
+``REMOVE`` on it is cut out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,10 @@ from astrolith.llm.common import KEY, SPANS, materialise, row_key, text_chunks
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
 GENERALISE, REMOVE = 0.8, 0.95
-#: Documents in which a term must stand by a value before the estimate counts as evidence.
+#: Documents in which a term must occur with a value before the estimate counts as evidence.
 SUPPORT = 2
-#: Terms on either side of a value that count as occurring with it.
-WINDOW = 6
 STEP_BYTES = 4 << 20
-#: Distinct terms that a task counts before it hands on its partial sums.
+#: Distinct terms, or pairs of values and terms, that a task counts before it hands on its partial sums.
 HELD = 400_000
 
 # Fixed patterns of the base kinds, in possessive form where that cannot change a match.
@@ -93,39 +92,39 @@ def _value(kind: str, text: str) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(f"{kind}:{plain}")).view(np.int64).item()
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, str, int, int]]:
-    """(value, term, start, end) of the terms near each span, outside all spans."""
-    reach = 40 * WINDOW
-    for kind, a, b in spans:
-        value = _value(kind, text[a:b])
-        low, high = max(0, a - reach), min(len(text), b + reach)
-        before = [m for m in _TERM.finditer(text, low, a) if m.start() > low or not low][-WINDOW:]
-        after = [m for m in _TERM.finditer(text, b, high) if m.end() < high or high == len(text)][:WINDOW]
-        for m in before + after:
-            if not any(x < m.end() and m.start() < y for _, x, y in spans):
-                yield value, m[0].lower(), m.start(), m.end()
+def _values(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    return sorted({_value(kind, text[a:b]) for kind, a, b in spans})
 
 
-_FOUND = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, kinds array<string>, starts array<int>, ends array<int>, near array<struct<value: long, term: string, s: int, e: int>>"
-_NEAR = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
+def _outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The terms that overlap no span (in order of start)."""
+    k = reach = 0
+    for m in _TERM.finditer(text):
+        while k < len(spans) and spans[k][1] < m.end():
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= m.start():
+            yield m
+
+
+_FOUND = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, kinds array<string>, starts array<int>, ends array<int>, held array<long>, text string"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     for batch in text_chunks(batches, "text", STEP_BYTES):
-        columns: list[list] = [[] for _ in range(9)]
+        columns: list[list] = [[] for _ in range(10)]
         for text in batch.column("text").to_pylist():
             spans = base_spans(text) if text else []
             if not spans:
-                row = (0, 0, 0, 0, nothing, [], [], [], [])
+                row = (0, 0, 0, 0, nothing, [], [], [], [], None)
             else:
                 count = Counter(k for k, _, _ in spans)
-                near = [{"value": v, "term": t, "s": a, "e": b} for v, t, a, b in _near(text, spans)]
-                row = (*(count[k] for k in KINDS[:4]), hashlib.sha256(joined(spans).encode()).hexdigest(), *map(list, zip(*spans)), near)
+                row = (*(count[k] for k in KINDS[:4]), hashlib.sha256(joined(spans).encode()).hexdigest(), *map(list, zip(*spans)), _values(text, spans), text)  # texts with spans only are read again
             for c, v in zip(columns, row):
                 c.append(v)
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), _NEAR]
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "kinds", "starts", "ends", "near"])
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "kinds", "starts", "ends", "held", "text"])
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -142,7 +141,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches, "text", STEP_BYTES):
         for text in batch.column("text").to_pylist():
             if text:
-                held.update(set(_TERM.findall(text.lower())))
+                held.update({t.lower() for t in set(_TERM.findall(text))})
         if len(held) > HELD:
             yield out()
             held.clear()
@@ -150,16 +149,57 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial document frequencies of the terms with each of a document's ``held`` values."""
+    held: dict[int, Counter] = defaultdict(Counter)
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for value, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([value] * len(counts), pa.int64()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["value", "term", "n"])
+
+    for batch in text_chunks(batches, "text", STEP_BYTES):
+        for text, values in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist()):
+            terms = {m[0].lower() for m in _outside(text, base_spans(text))}
+            for value in values:
+                size -= len(held[value])
+                held[value].update(terms)
+                size += len(held[value])
+            if size > HELD:
+                yield from out()
+                held.clear()
+                size = 0
+    yield from out()
+
+
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(value, term, share): the terms that convey ``GENERALISE`` or more of a value's information."""
-    pairs = found.select("uid", F.explode("near").alias("x")).select("uid", "x.value", "x.term").distinct()
-    values = found.select("uid", F.explode("near.value").alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n_value")).where(f"n_value >= {SUPPORT}")
-    # a value in one document has no term with enough support; its pairs go before they are counted
-    both = materialise(pairs.join(values, "value").groupBy("value", "term").agg(F.count("*").alias("n_both"), F.first("n_value").alias("n_value")).where(f"n_both >= {SUPPORT}"), "pairs")
-    terms = docs.select("text").mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    """(value, term, share): the terms that convey ``GENERALISE`` or more of a value's information.
+    Both occur in a document wherever they stand in it; a term inside a base span is none."""
+    holds = found.select("uid", F.explode("held").alias("value"))
+    values = holds.groupBy("value").agg(F.count("*").alias("n_value")).where(f"n_value >= {SUPPORT}")
     total = docs.count()
-    share = F.log2(F.col("n_both") * total / (F.col("n_value") * F.col("n_term"))) / F.log2(total / F.col("n_value"))
-    return both.where(f"n_value < {total}").join(terms, "term").select("value", "term", share.alias("share")).where(f"share >= {GENERALISE}")
+    # a value in one document has no term with enough support; its texts go before they are read
+    held = holds.distinct().join(values, "value").groupBy("uid").agg(F.collect_list("value").alias("held"))
+    pairs = found.where("text is not null").select("uid", "text").join(held, "uid").select("text", "held").mapInArrow(_count_pairs, "value long, term string, n long")
+    pairs = pairs.groupBy("value", "term").agg(F.sum("n").alias("n_both")).where(f"n_both >= {SUPPORT}")
+    both = pairs.join(values, "value").where(f"n_value < {total}")
+    share = lambda n_term: F.log2(F.col("n_both") * total / (F.col("n_value") * n_term)) / F.log2(total / F.col("n_value"))
+    # a term stands in n_both documents at least: pairs that would not do even then go before the join
+    both = materialise(both.where(share(F.col("n_both")) >= GENERALISE), "pairs")
+    terms = docs.select("text").mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return both.join(terms, "term").select("value", "term", share(F.col("n_term")).alias("share")).where(f"share >= {GENERALISE}")
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each text's ``told`` terms."""
+    kind = pa.struct([("s", pa.int32()), ("order", pa.int32()), ("kind", pa.string()), ("e", pa.int32()), ("remove", pa.bool_())])
+    order = KINDS.index("term")
+    for batch in text_chunks(batches, "text", STEP_BYTES):
+        out = []
+        for text, told in zip(batch.column("text").to_pylist(), batch.column("told").to_pylist()):
+            share = {x["term"]: x["share"] for x in sorted(told, key=lambda x: x["share"])}
+            out.append([{"s": m.start(), "order": order, "kind": "term", "e": m.end(), "remove": share[t] >= REMOVE} for m in _outside(text, base_spans(text)) if (t := m[0].lower()) in share])
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.list_(kind))], names=["uid", "extra"])
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
@@ -170,10 +210,10 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", row_key().alias("uid"))
     found = materialise(docs.select("uid", "doc_id", "text").mapInArrow(_find, _FOUND), "found")
     told = disclosures(docs, found)
-    near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.*").distinct()
-    order = F.lit(KINDS.index("term"))
-    more = near.join(told, ["value", "term"]).groupBy("uid", "s", "e").agg(F.max("share").alias("share"))
-    more = more.groupBy("uid").agg(F.collect_list(F.struct("s", order.alias("order"), F.lit("term").alias("kind"), "e", (F.col("share") >= REMOVE).alias("remove"))).alias("extra"))
+    holds = found.select("uid", F.explode("held").alias("value")).distinct()
+    told = holds.join(told, "value").groupBy("uid", "term").agg(F.max("share").alias("share")).groupBy("uid").agg(F.collect_list(F.struct("term", "share")).alias("told"))
+    more = found.where("text is not null").select("uid", "text").join(told, "uid").select("uid", "text", "told").mapInArrow(_mark, "uid long, extra array<struct<s: int, order: int, kind: string, e: int, remove: boolean>>")
+    more = more.dropDuplicates(["uid"])  # repeated rows share it
     kinds = F.array(*(F.lit(k) for k in KINDS))
     base = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda x: F.struct(x["starts"].alias("s"), (F.array_position(kinds, x["kinds"]) - 1).cast("int").alias("order"), x["kinds"].alias("kind"), x["ends"].alias("e"), F.lit(False).alias("remove")))
     both = found.join(more, "uid", "left")

@@ -187,6 +187,19 @@ def test_disclosing_terms(spark):
     assert "zebulon" not in clean[0] and "z.q@" not in clean[0] and "<EMAIL>" in clean[0] and clean[12] == rows[5][1]
 
 
+def test_disclosing_terms_of_the_whole_document(spark):
+    """Far from the value they are found too, and every occurrence goes."""
+    far = "the office of the town is about to contact us at noon " * 8
+    rows = [(k, f"Quaxley wrote {far} mail z.q@ex.org {far} signed zebulon quaxley number {k}") for k in range(3)]
+    rows += [(10 + k, f"{far} wrote mail signed number {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: [(x.kind, x.s, x.e) for x in r.spans] for r in pii.personal_spans(docs).collect()}
+    assert [rows[0][1][s:e] for kind, s, e in spans[0]] == ["Quaxley", "z.q@ex.org", "zebulon", "quaxley"]
+    assert all(not s for k, s in spans.items() if k >= 10)
+    clean = {r.doc_id: r.text.lower() for r in pii.sanitise(docs).collect()}
+    assert all("quaxley" not in clean[k] and "zebulon" not in clean[k] for k in range(3)) and clean[12] == rows[5][1]
+
+
 def test_forward_backward_against_all_labellings():
     rng = np.random.default_rng(0)
     k, lengths = 3, np.array([3, 1, 4])
