@@ -250,3 +250,51 @@ def test_published_versions(spark, tmp_path):
     assert index.where(spatial.in_sphere((30.0, 30.0, 30.0), 20.0, "cell")).count() == sum(math.dist(p[1:], (30, 30, 30)) <= 20 for p in _cloud(50))
     with pytest.raises(ValueError):
         published.read_index(spark, f"{root}/stars/version=3")
+
+
+def test_routes_start_at_every_station(spark, small, tmp_path):
+    """75 stations, the first 60 and more; jumps against a breadth-first search of the same corridor."""
+    for name, key, n in (("customer", "c_custkey", 400), ("supplier", "s_suppkey", 75)):
+        one = spark.read.parquet(f"{small}/{name}.parquet").limit(1).drop(key)
+        spark.range(n).select(F.col("id").alias(key)).crossJoin(one).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.request: r.jumps for r in registry.queries()["graph_routes"](spark, str(tmp_path)).collect()}
+    stars = {k: ((k * 37) % 401 - 200.0, (k * 53) % 211 - 105.0, (k * 71) % 307 - 153.0) for k in range(400)}
+
+    def jumps(start, goal):
+        a, b = stars[start], stars[goal]
+        line = [q - p for p, q in zip(a, b)]
+        part = lambda s: max(0.0, min(1.0, sum((x - p) * v for x, p, v in zip(s, a, line)) / sum(v * v for v in line)))
+        there = [k for k, s in stars.items() if math.dist(s, [p + part(s) * v for p, v in zip(a, line)]) <= 80.0]
+        now, seen, n = {start}, {start}, 0
+        while now and goal not in now:
+            now = {k for k in there if k not in seen and any(math.dist(stars[k], stars[m]) <= 60.0 for m in now)}
+            seen |= now
+            n += 1
+        return n if now else None
+
+    assert got == {k: jumps(k, k + 11) for k in range(75)}
+
+
+def test_net_operations_of_the_whole_journal(spark, small):
+    """Every event of every id, long chains among them, against a plain fold."""
+    from astrolith.plans import galaxy
+
+    op = F.when(F.col("event") == "signup", "add").when(F.col("event") == "error", "retract").otherwise("update")
+    steps = galaxy.events(spark, small).select(F.col("k").alias("id"), F.col("offset").alias("step"), op.alias("op"), "value")
+    # of every other id only the steps that follow from the one before, so that not all are errors
+    chains, told = {}, []
+    for r in sorted(steps.collect(), key=lambda r: (r.id, r.step)):
+        chain = chains.setdefault(r.id, [])
+        if r.id % 2 and chain and (r.op == "add") != (chain[-1].op == "retract"):
+            continue
+        chain.append(r)
+        told.append(r)
+    want = {}
+    for k, chain in chains.items():
+        first, last = chain[0].op, chain[-1].op
+        if any((b.op == "add") != (a.op == "retract") for a, b in zip(chain, chain[1:])):
+            want[k] = ("error", chain[-1].value)
+        elif not (first == "add" and last == "retract"):
+            want[k] = ("add" if first == "add" else "update" if last == "add" else last, chain[-1].value)
+    got = {r.id: (r.op, r.value) for r in merge.net_operations(spark.createDataFrame(told, steps.schema), ["id"], ["value"]).collect()}
+    assert got == want and {"error", "update"} <= {x for x, _ in want.values()} and max(map(len, chains.values())) > 5
