@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured (tests)."""
+    """The cluster's shared folder; a local one only where none is configured in local mode (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="astrolith-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -42,7 +46,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
 
 
 #: Names of columns that operators put beside a caller's own for a while.
-KEY, SPANS = "__row_key", "__spans"
+KEY, SPANS, PASSAGES, MARK = "__row_key", "__spans", "__passages", "__mark"
+
+
+def release() -> None:
+    """Give freed memory back: workers outlive their tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -55,6 +66,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> I
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch
+    release()
 
 
 def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +102,18 @@ def parts_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def least_hashes(rows: DataFrame, mark, k: int, known: int | None = None) -> DataFrame:
-    """At most ``k`` rows, those of the least values of ``mark`` (a 64-bit hash). A bound on the hash
-    that leaves about 1.5 k rows goes first, so that tasks do not each send their own k to
-    the driver. ``known``: how many rows there are, or more; counted if not given."""
+def least_hashes(rows: DataFrame, k: int, known: int | None = None) -> pa.Table:
+    """At most ``k`` distinct rows, those whose contents have the least hashes: exactly k where there
+    are as many, however many rows are alike. A bound on the hash goes first, so that tasks send few
+    rows; it is widened until k rows lie below it or the table ends. ``known``: how many rows
+    there are; counted if not given."""
+    names = rows.columns
     total = rows.count() if known is None else known
-    if total > 4 * k:
-        rows = rows.where(mark < -(1 << 63) + int((1 << 64) * (1.5 * k / total)))
-    return rows.orderBy(mark).limit(k)
+    marked = rows.withColumn(MARK, F.xxhash64(*names))
+    share = 2 * k / max(total, 1)
+    while True:
+        below = marked.where(F.col(MARK) < -(1 << 63) + int((1 << 64) * share)) if share < 1 else marked
+        found = below.dropDuplicates([MARK]).orderBy(MARK).limit(k).select(*names).toArrow()
+        if share >= 1 or found.num_rows == k:
+            return found
+        share *= 8

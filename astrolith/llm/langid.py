@@ -3,13 +3,14 @@
 Words are labelled with languages: a word's emission is the mean-scaled sum of the weights of
 its character n-grams, affixes and lexicon entries; transitions are learned with them by
 full-batch gradient on the exact conditional likelihood (forward-backward). Training
-sequences join passages of several documents, so that switches occur. A document's language
+sequences join pieces of several documents, so that switches occur. A document's language
 is the one with the largest mean posterior over its words.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,15 +22,33 @@ from pyspark.sql import functions as F
 
 from astrolith.llm.common import least_hashes, text_chunks
 
-#: Labelled documents of the training sample (those of the least hashes), and letters of the passage of each.
-SAMPLE, PASSAGE = 4000, 1200
+#: Bounds of the training sample: whole labelled texts (those of the least hashes), and their bytes.
+SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
+#: Words of the pieces that training sequences consist of, and pieces of a sequence.
+PIECE, PIECES = (4, 24), 3
+#: Words that forward-backward passes one after the other; segments of longer texts advance together.
+SEGMENT = 512
 SLOTS = 1 << 16
 #: Occurrences that put a word in the lexicon, and the share of one language that files it there.
 LEXICON_LEAST, LEXICON_SHARE = 3, 0.8
 STEP_BYTES = 2 << 20
-CACHE = 400_000
+CACHE = 200_000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _signs() -> str:
+    """Ranges of the characters that count as alphanumeric but are neither letters nor decimal digits."""
+    points = [k for k in range(128, sys.maxunicode + 1) if (c := chr(k)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    runs = [[k, k] for k in points[:1]]
+    for k in points[1:]:
+        if k == runs[-1][1] + 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+_WORD = re.compile(rf"[^\W\d_{_signs()}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,11 +82,12 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     return slot[order], np.searchsorted(own[order], np.arange(len(words)))
 
 
-def posteriors(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def posteriors(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray, lengths: np.ndarray, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over ragged, non-empty sequences that lie in ``emission`` one after the other.
     Returns each word's label posteriors, the summed transition posteriors and each
     sequence's log-normaliser. All sequences take a step together, longest first, so
-    those still running are a prefix."""
+    those still running are a prefix. ``entry`` and ``leave`` weigh the labels of each sequence's first
+    and last word by what lies before and behind, where it is a segment of a longer one."""
     count, k = len(lengths), emission.shape[1]
     order = np.argsort(-lengths, kind="stable")
     begin = (np.cumsum(lengths) - lengths)[order]
@@ -75,17 +95,21 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray
     top = emission.max(axis=1, keepdims=True)
     local = np.exp(emission - top)
     move = np.exp(transition)
+    first = np.exp(initial)[None, :] if entry is None else entry[order]
     ahead = np.empty_like(local)
     scale = np.empty(len(local))
     steps = int(lengths[0]) if count else 0
     live = np.searchsorted(-lengths, -np.arange(steps), "left")  # sequences longer than t
     for t in range(steps):
         at = begin[: live[t]] + t
-        a = local[at] * (ahead[at - 1] @ move if t else np.exp(initial))
+        a = local[at] * (ahead[at - 1] @ move if t else first)
         s = a.sum(axis=1)
         ahead[at] = a / s[:, None]
         scale[at] = s
     behind = np.ones_like(local)
+    if leave is not None:
+        last = begin + lengths - 1
+        behind[last] = leave[order] / (ahead[last] * leave[order]).sum(axis=1, keepdims=True)
     both = np.zeros((k, k))
     for t in range(steps - 2, -1, -1):
         at = begin[: live[t + 1]] + t
@@ -96,6 +120,41 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray
     return ahead * behind, both * move, logz
 
 
+def marginals(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Each word's label posteriors, as of ``posteriors``. Long sequences are cut: the products of
+    all segments' steps are built together, carry the weights from segment to segment, and then all
+    segments run at once."""
+    if not len(lengths) or lengths.max() <= segment:
+        return posteriors(emission, transition, initial, lengths)[0]
+    k = emission.shape[1]
+    cuts = -(-lengths // segment)
+    owner = np.repeat(np.arange(len(lengths)), cuts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    sizes = np.minimum(segment, lengths[owner] - place * segment)
+    begin = np.cumsum(sizes) - sizes
+    move = np.exp(transition)
+    wide = np.flatnonzero(cuts[owner] > 1)
+    product = np.zeros((len(wide), k, k))
+    order = wide[np.argsort(-sizes[wide], kind="stable")]
+    for t in range(int(sizes[order[0]])):
+        at = begin[order[: np.searchsorted(-sizes[order], -t, "left")]] + t
+        local = np.exp(emission[at] - emission[at].max(axis=1, keepdims=True))
+        now = (product[: len(at)] @ move if t else np.eye(k)[None]) * local[:, None, :]
+        product[: len(at)] = now / now.max(axis=(1, 2), keepdims=True)
+    where = np.full(len(owner), -1)
+    where[order] = np.arange(len(order))
+    entry, leave = np.tile(np.exp(initial), (len(owner), 1)), np.ones((len(owner), k))
+    for s in wide.tolist():
+        if place[s]:
+            before = entry[s - 1] @ product[where[s - 1]] @ move
+            entry[s] = before / before.sum()
+    for s in wide[::-1].tolist():
+        if place[s] < cuts[owner[s]] - 1:
+            after = move @ product[where[s + 1]] @ leave[s + 1]
+            leave[s] = after / after.sum()
+    return posteriors(emission, transition, initial, sizes, entry, leave)[0]
+
+
 class Tagger:
     def __init__(self, labels: list[str], lexicon: dict[str, int], weights: np.ndarray, transition: np.ndarray, initial: np.ndarray):
         self.labels, self.lexicon = labels, lexicon
@@ -107,8 +166,8 @@ class Tagger:
         return np.add.reduceat(self.weights[slot], first, axis=0) / np.sqrt(size)[:, None]
 
 
-def train(rows: list[tuple[str, str]], rounds: int = 60, rate: float = 0.3, decay: float = 2e-4, seed: int = 11) -> Tagger | None:
-    """A tagger from (passage, language) pairs; None if there is nothing to learn."""
+def train(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 0.3, decay: float = 2e-4, seed: int = 11) -> Tagger | None:
+    """A tagger from (text, language) pairs; None if there is nothing to learn."""
     labels = sorted({lang for _, lang in rows})
     texts = [(ws, labels.index(lang)) for text, lang in rows if (ws := [w.lower() for w in _WORD.findall(text)])]
     if not texts:
@@ -123,19 +182,21 @@ def train(rows: list[tuple[str, str]], rounds: int = 60, rate: float = 0.3, deca
     slot, first = features(list(vocabulary), lexicon)
     size = np.sqrt(np.diff(np.append(first, len(slot))))
     rng = np.random.default_rng(seed)
-    # sequences of three pieces from documents drawn at random: their borders show switches
+    # every word of the texts once: pieces in random order, joined to sequences whose borders show switches
+    parts = []
+    for ws, c in texts:
+        ends = np.cumsum(rng.integers(*PIECE, size=len(ws) // PIECE[0] + 1))
+        cut = [0, *ends[ends < len(ws)].tolist(), len(ws)]
+        parts += [(ws[a:b], c) for a, b in zip(cut, cut[1:])]
     words, tags, lengths = [], [], []
-    for k0 in rng.permutation(len(texts)):
-        length = 0
-        for j in (k0, *rng.integers(len(texts), size=2)):
-            ws, c = texts[j]
-            n = int(rng.integers(4, 24))
-            a = int(rng.integers(max(1, len(ws) - n)))
-            part = ws[a : a + n]
-            words += [vocabulary[w] for w in part]
-            tags += [c] * len(part)
-            length += len(part)
-        lengths.append(length)
+    for n, at in enumerate(rng.permutation(len(parts)).tolist()):
+        ws, c = parts[at]
+        words += [vocabulary[w] for w in ws]
+        tags += [c] * len(ws)
+        if n % PIECES:
+            lengths[-1] += len(ws)
+        else:
+            lengths.append(len(ws))
     word, tag, lengths = np.array(words), np.array(tags), np.array(lengths)
     begins = np.cumsum(lengths) - lengths
     inner = np.setdiff1d(np.arange(1, len(word)), begins)
@@ -186,7 +247,7 @@ class _Reader:
         if len(some):
             get = self.place.__getitem__
             at = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(lengths.sum()))
-            seen, _, _ = posteriors(self.rows[at].astype(np.float64), self.tagger.transition, self.tagger.initial, lengths[some])
+            seen = marginals(self.rows[at].astype(np.float64), self.tagger.transition, self.tagger.initial, lengths[some])
             sizes = lengths[some]
             mean = np.add.reduceat(seen, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
             for k, m in zip(some.tolist(), mean):
@@ -217,22 +278,32 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
-    """Learn from ``sample`` labelled rows that are not held out, the ones of the least hashes:
-    a bounded sample, of each row a passage at a place that the hash sets."""
-    mark = F.xxhash64("doc_id")
-    start = F.pmod(mark, F.greatest(F.length("text") - PASSAGE, F.lit(1))).cast("int") + 1
-    told = docs.where(F.col("lang").isNotNull() & ~held_out())
-    rows = told.where("text is not null").select(F.substring("text", start, F.lit(PASSAGE)).alias("text"), "lang", mark.alias("mark"))
-    picked = least_hashes(rows, F.col("mark"), sample, told.select("doc_id", "lang").count()).collect()
-    return train(sorted((r.text, r.lang) for r in picked))
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Tagger | None:
+    """Learn from ``sample`` distinct labelled texts that are not held out, the ones of the least
+    hashes: a bounded sample of whole texts. Texts that would take it over ``most`` bytes are
+    passed over; the smallest one always counts."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang")
+    mark = F.xxhash64("text", "lang")
+    sizes = least_hashes(rows.select(mark.alias("mark"), F.octet_length("text").alias("size")), sample)
+    picked, left = [], most
+    for n, size in enumerate(sizes.column("size").to_pylist()):
+        if size <= left:
+            left -= size
+            picked.append(n)
+    if not picked and sizes.num_rows:
+        picked = [int(sizes.column("size").to_numpy().argmin())]
+    marks = [sizes.column("mark")[n].as_py() for n in picked]
+    texts = rows.withColumn("mark", mark).where(F.col("mark").isin(marks)).dropDuplicates(["mark"]).select("text", "lang").collect() if marks else []
+    return train(sorted((r.text, r.lang) for r in texts))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row of ``docs`` (doc_id, text, lang).
 
-    ``und`` with score 0 where the text is null or has no letter, or where there is nothing to
-    learn from; repeated rows get equal results; score is the mean posterior of the language.
+    ``und`` with score 0 where the text is null or has no letter (a character of category L), or where
+    there is nothing to learn from; repeated rows get equal results and count once in the sample; null
+    ids are not held out; score is the mean posterior of the language. Long texts are read whole, their
+    segments side by side.
     """
     tagger = fit(docs, sample)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
