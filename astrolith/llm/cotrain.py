@@ -1,6 +1,7 @@
 """Document quality by co-training: a classifier of the text's content and one of the page's
-metadata learn from labelled rows, hand each other their most confident pseudo-labels on
-unlabelled ones over several rounds, and their calibrated views are combined.
+metadata learn from a bounded sample of labelled rows. In every round each of them scores all
+documents and hands the other its surest pseudo-labels; in the end their calibrated views
+are combined.
 
 A document is fit for training if its quality label is 1 and its toxicity label is not 1.
 """
@@ -8,19 +9,23 @@ A document is fit for training if its quality label is 1 and its toxicity label
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from astrolith.llm.common import joined_bytes, least_hashes, text_chunks
 
-#: Labelled and unlabelled rows that training reads at most (those of the least hashes).
-LABELLED, POOL = 6000, 4000
+#: Labelled rows that training reads at most (those of the least hashes).
+LABELLED = 6000
 SLOTS = 1 << 18
-ROUNDS, CONFIDENT, SHARE = 3, 0.97, 0.1
+#: Rounds of exchange, the chance from which a view is sure, and the pseudo-labels that it hands
+#: over in a round: its surest ones among all documents.
+ROUNDS, CONFIDENT, EXCHANGED = 3, 0.97, 400
+#: Groups in which the surest documents are ranked before they are ranked together.
+GROUPS = 64
 #: Labelled rows kept out of training to calibrate on: every FOLD-th.
 FOLD = 5
 THRESHOLD = 0.4
@@ -37,12 +42,15 @@ class _Slots(dict):
     """Slots of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = slot = _slot(word.strip(_STRIP) or word)
         return slot
 
 
+_SLOTS_KEPT = _Slots()
+
+
 def content(texts: list[str], slots: _Slots) -> list[np.ndarray]:
     """The slots of each text's words: what is said, once each."""
     get = slots.__getitem__
@@ -118,33 +126,28 @@ def _chance(margin: np.ndarray) -> np.ndarray:
 class CoTrained:
     """Both views after co-training, and the weights that calibrate and combine them."""
 
-    def __init__(self, text_sets: list[np.ndarray], page_sets: list[np.ndarray], target: np.ndarray):
-        """``target``: 1, 0, or nan for unlabelled rows."""
-        known = np.flatnonzero(~np.isnan(target))
-        fold = known[np.arange(len(known)) % FOLD == FOLD - 1] if len(known) >= 2 * FOLD else known
-        learn = np.setdiff1d(known, fold) if len(known) >= 2 * FOLD else known
-        pool = np.flatnonzero(np.isnan(target))
-        views = (text_sets, page_sets)
+    def __init__(self, text_sets: list[np.ndarray], page_sets: list[np.ndarray], target: np.ndarray, ask: Callable):
+        """``target``: 1 or 0. ``ask(models, quota, told)`` returns (view, label, key, sets): up to
+        ``quota[label]`` documents of which ``models[view]`` is surest, without those that ``told[view]`` has."""
+        fold = np.arange(len(target))[FOLD - 1 :: FOLD] if len(target) >= 2 * FOLD else np.arange(len(target))
+        learn = np.setdiff1d(np.arange(len(target)), fold) if len(target) >= 2 * FOLD else fold
         pick = lambda sets, at: [sets[k] for k in at]
-        given = [{int(k): target[k] for k in learn} for _ in views]
+        own = (pick(text_sets, learn), pick(page_sets, learn))
+        share = float(target[learn].mean())
+        quota = {1.0: max(1, round(EXCHANGED * share)), 0.0: max(1, round(EXCHANGED * (1 - share)))}
+        given: tuple[dict, dict] = ({}, {})
         for turn in range(ROUNDS + 1):
             models = []
-            for view, (sets, labels) in enumerate(zip(views, given)):
-                at = np.array(sorted(labels))
-                own = np.array([labels[k] for k in at.tolist()])
-                weight = np.where(np.isnan(target[at]), 0.5, 1.0)
-                models.append(Linear(SLOTS if view == 0 else _SMALL, 2e-4 if view == 0 else 5e-5).fit(pick(sets, at), own, weight))
-            if turn == ROUNDS or not len(pool):
+            for view, (sets, more) in enumerate(zip(own, given)):
+                labels = np.array([*target[learn], *(label for _, label in more.values())])
+                weight = np.repeat([1.0, 0.5], [len(learn), len(more)])
+                models.append(Linear(SLOTS if view == 0 else _SMALL, 2e-4 if view == 0 else 5e-5).fit([*sets, *(x for x, _ in more.values())], labels, weight))
+            offers = ask(models, quota, [set(given[1 - view]) for view in (0, 1)]) if turn < ROUNDS else []
+            if not offers:
                 break
             # each view labels for the other what it is surest of, in the proportions of the labels
-            for view, (sets, model) in enumerate(zip(views, models)):
-                chance = _chance(model.margins(*_flat(pick(sets, pool)), len(pool)))
-                quota = max(1, int(SHARE * len(pool)))
-                for label, order in ((1.0, np.argsort(-chance)), (0.0, np.argsort(chance))):
-                    share = float((target[learn] == label).mean())
-                    for k in order[: max(1, round(quota * share))].tolist():
-                        if (chance[k] if label else 1 - chance[k]) >= CONFIDENT:
-                            given[1 - view].setdefault(int(pool[k]), label)
+            for view, label, key, sets in offers:
+                given[1 - view].setdefault(key, (sets[1 - view], label))
         self.text, self.page = models
         text = self.text.margins(*_flat(pick(text_sets, fold)), len(fold))
         page = self.page.margins(*_flat(pick(page_sets, fold)), len(fold))
@@ -186,13 +189,9 @@ def _views(batch: pa.RecordBatch, slots: _Slots):
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slots = _Slots()
     for batch in text_chunks(batches, "text", STEP_BYTES):
-        _, text, page = _views(batch, slots)
-        yield pa.RecordBatch.from_arrays([batch.column("target"), pa.array(text, pa.list_(pa.int32())), pa.array(page, pa.list_(pa.int32()))], names=["target", "content", "page"])
-
-
-_SLOTS_KEPT = _Slots()
+        _, text, page = _views(batch, _SLOTS_KEPT)
+        yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(text, pa.list_(pa.int32())), pa.array(page, pa.list_(pa.int32()))], names=["mark", "content", "page"])
 
 
 def _scorer(model: CoTrained):
@@ -216,24 +215,77 @@ def _score(model: CoTrained):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Co-train on at most ``labelled`` labelled and ``pool`` unlabelled rows; None without labels
-    of both kinds."""
+class _Surest:
+    """The documents of which each view is surest, for each label at most its quota."""
+
+    def __init__(self, models: list[Linear], quota: dict[float, int], told: list[set]):
+        self.models, self.quota = models, quota
+        self.told = [np.array(sorted(x), np.int64) for x in told]
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {(view, label): (np.zeros(0), np.zeros(0, np.int64)) for view in (0, 1) for label in self.quota}
+        for batch in text_chunks(batches, "text", STEP_BYTES):
+            texts, *views = _views(batch, _SLOTS_KEPT)
+            marks = batch.column("mark").to_numpy()
+            some = np.array([bool(t) and not t.isspace() for t in texts])
+            for view, (model, sets) in enumerate(zip(self.models, views)):
+                margin = model.margins(*_flat(sets), len(sets))
+                fresh = some & ~np.isin(marks, self.told[view])
+                for label, n in self.quota.items():
+                    sure = margin if label else -margin
+                    ok = fresh & (_chance(sure) >= CONFIDENT)
+                    if not ok.any():
+                        continue
+                    kept, first = np.unique(np.concatenate([held[view, label][1], marks[ok]]), return_index=True)  # copies count once
+                    sure = np.concatenate([held[view, label][0], sure[ok]])[first]
+                    top = np.lexsort([kept, -sure])[:n]
+                    held[view, label] = sure[top], kept[top]
+        for (view, label), (sure, kept) in held.items():
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array([view] * len(kept), pa.int32()), pa.array([label] * len(kept)), pa.array(sure), pa.array(kept)], names=["view", "label", "sure", "mark"])
+
+
+def _features(rows: DataFrame, marks: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Both feature sets of the documents of some (boundedly many) marks."""
+    got = rows.where(F.col("mark").isin(marks)).dropDuplicates(["mark"]).select("mark", "text", "lang", "source").mapInArrow(_featurise, "mark long, content array<int>, page array<int>").toArrow()
+    sets = ([np.asarray(x.values.to_numpy(), np.int64) for x in got.column(c)] for c in ("content", "page"))
+    return dict(zip(got.column("mark").to_pylist(), zip(*sets)))
+
+
+def _asker(rows: DataFrame, known: set[int]) -> Callable:
+    """Offers from all of ``rows`` (mark, text, lang, source) but the ``known`` marks."""
+
+    def ask(models: list[Linear], quota: dict[float, int], told: list[set]) -> list[tuple]:
+        found = rows.mapInArrow(_Surest(models, quota, [x | known for x in told]), "view int, label double, sure double, mark long")
+        most = F.when(F.col("label") == 1, quota[1.0]).otherwise(quota[0.0])
+        found = found.groupBy("view", "label", "mark").agg(F.max("sure").alias("sure"))
+        for part in (["view", "label", F.pmod("mark", F.lit(GROUPS))], ["view", "label"]):
+            order = Window.partitionBy(*part).orderBy(F.col("sure").desc(), "mark")
+            found = found.withColumn("at", F.row_number().over(order)).where((F.col("at") <= max(quota.values())) & (F.col("at") <= most)).drop("at")
+        offers = found.orderBy("view", "label", F.col("sure").desc(), "mark").collect()  # no more than twice EXCHANGED
+        sets = _features(rows, sorted({r.mark for r in offers})) if offers else {}
+        return [(r["view"], r.label, r.mark, sets[r.mark]) for r in offers]
+
+    return ask
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrained | None:
+    """Co-train from at most ``labelled`` distinct labelled rows, with pseudo-labels from all others;
+    None without labels of both kinds."""
     judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     judged = judged.select("doc_id", F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1), 1.0).otherwise(0.0).alias("target"))
-    rows = docs.where("text is not null").select("doc_id", "text", "lang", "source")
-    mark = F.xxhash64("doc_id")
-    # ids are picked before texts are read; both picks are bounded by parameters
-    some = least_hashes(judged, mark, labelled)
-    rest = least_hashes(rows.select("doc_id").join(judged, "doc_id", "left_anti"), mark, pool).select("doc_id", F.lit(None).cast("double").alias("target"))
-    picked = rows.join(F.broadcast(some.unionByName(rest)), "doc_id")
-    got = picked.select("text", "lang", "source", "target").mapInArrow(_featurise, "target double, content array<int>, page array<int>").toArrow()
-    target = got.column("target").to_numpy()
-    if not {0.0, 1.0} <= set(target[~np.isnan(target)].tolist()):
+    rows = docs.where("text is not null").select("doc_id", "text", "lang", "source", F.xxhash64("text", "lang", "source").alias("mark"))
+    # ids are picked before texts are read; the rows of an id, however many, are bounded in their turn
+    picked = least_hashes(judged, labelled)
+    some = F.broadcast(docs.sparkSession.createDataFrame(picked.to_pandas(), judged.schema))
+    told = least_hashes(rows.select("doc_id", "mark").join(some, "doc_id").groupBy("mark").agg(F.min("target").alias("target")), labelled)
+    target = dict(zip(told.column("mark").to_pylist(), told.column("target").to_pylist()))
+    if set(target.values()) != {0.0, 1.0}:
         return None
-    sets = [[np.asarray(x.values.to_numpy(), np.int64) for x in got.column(c)] for c in ("content", "page")]
-    order = sorted(range(len(target)), key=lambda k: (sets[1][k].tolist(), sets[0][k].tolist(), str(target[k])))  # the same at every run
-    return CoTrained(*([s[k] for k in order] for s in sets), target[order]).slim()
+    rows = rows.drop("doc_id")
+    sets = _features(rows, sorted(target))
+    order = sorted(target)  # by a hash of the content: the same at every run
+    return CoTrained([sets[k][0] for k in order], [sets[k][1] for k in order], np.array([target[k] for k in order]), _asker(rows, set(order))).slim()
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,7 +293,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     score: calibrated chance that the document is fit; kept: at least ``THRESHOLD``. A null or
     blank text scores 0 and is not kept; without labels of both kinds all others score 1.
-    Null languages and sources are values of their own; repeated rows get equal results.
+    Null languages and sources are values of their own; repeated rows get equal results, and count
+    once in training. Labels of null ids and without quality tell nothing. Texts are read whole.
     """
     model = fit(docs, labels)
     rows = docs.select("doc_id", "text", "lang", "source")
