@@ -4,7 +4,8 @@ unigram objective), by Viterbi over many words at once in numpy.
 Words of one length advance together. Hashes of all their substrings are looked up among
 the sorted hashes of the pieces, and the maximum over the pieces that end at a place is taken for all
 words in one step, with the winning length as back-pointer. No piece goes on from a
-letter into a space, so words are solved one by one and remembered.
+letter into a space, so words are solved one by one; short ones are remembered. Long words, such as
+texts without spaces, pass in blocks, so that the tables of their substrings stay small.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from astrolith.llm.common import mix, text_chunks
 
 VOCABULARY = "piece_bpe_32k.model"
 STEP_BYTES = 2 << 20
-CACHE = 300_000
-#: Cells (words times letters) of one batch.
-CELLS = 1 << 18
+#: Words that are remembered, and letters of the longest of them.
+CACHE, REMEMBERED = 300_000, 48
+#: Cells (words times letters) whose substrings are looked up together.
+CELLS = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +54,8 @@ class Pieces:
         for row, k in enumerate(plain.tolist()):
             points = np.frombuffer(names[k].encode("utf-32-le"), np.uint32)
             self.letters[k, : len(points)] = points
-            hashes[row] = self._hash(points[None, :], len(points))[0, 0]
+            *_, (_, last) = self._hashes(points[None, :], len(points))
+            hashes[row] = last[0, 0]
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], plain[order]
         self.unknown = self.score[plain].min() - 10.0
@@ -60,83 +63,107 @@ class Pieces:
         self.size = cache
 
     @staticmethod
-    def _hash(points: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of the substrings of ``length`` that start at each place of each row."""
-        count = points.shape[1] - length + 1
-        out = np.full((len(points), count), length, np.uint64)
-        for k in range(length):
-            out *= _STEP
-            out += points[:, k : k + count]
-        return mix(out)
-
-    def viterbi(self, points: np.ndarray) -> list[bytes]:
-        """Ids (little-endian uint32) of rows of code points, all of one length."""
-        rows, n = points.shape
-        best = np.full((n + 1, rows), -np.inf)
-        best[0] = 0.0
-        back = np.zeros((n + 1, rows), np.int16)
-        chosen = np.full((n + 1, rows), -1, np.int64)
-        tables = []
-        for length in range(1, min(self.longest, n) + 1):
-            h = self._hash(points, length)
+    def _hashes(points: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, hashes) of the substrings that start at each place of each row."""
+        out = np.full(points.shape, 7, np.uint64)
+        for length in range(1, longest + 1):
+            count = points.shape[1] - length + 1
+            out = out[:, :count] * _STEP
+            out += points[:, length - 1 :]
+            yield length, mix(out + np.uint64(length))
+
+    def _tables(self, points: np.ndarray, low: int, high: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the pieces that end at the places from low to high - 1 (after their last
+        letter), by where they begin, longest first; -1 where there is none."""
+        first = max(0, low - longest)
+        part = points[:, first : high - 1]
+        ids = np.full((high - low, longest, len(points)), -1, np.int32)
+        score = np.full(ids.shape, -np.inf)
+        for length, h in self._hashes(part, min(longest, part.shape[1])):
+            skip = max(0, low - length - first)  # pieces that end before the block
+            h = h[:, skip:]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            ids = np.where(self.keys[at] == h, self.ids[at], -1)
-            row, col = np.nonzero(ids >= 0)
+            row, col = np.nonzero(self.keys[at] == h)
             # a hash alone proves nothing
-            got = ids[row, col]
+            got = self.ids[at[row, col]]
             same = np.ones(len(got), bool)
             for k in range(length):
-                same &= self.letters[got, k] == points[row, col + k]
-            ids[row[~same], col[~same]] = -1
-            score = np.where(ids >= 0, self.score[ids], -np.inf)
+                same &= self.letters[got, k] == part[row, col + skip + k]
+            row, col, got = row[same], col[same], got[same]
+            end = first + skip + length - low
             if length == 1:
-                score[ids < 0] = self.unknown
-            tables.append((ids.T.copy(), score.T.copy()))
-        for end in range(1, n + 1):
-            for length in range(min(self.longest, end), 0, -1):  # on ties the longer piece stays
-                ids, score = tables[length - 1]
-                total = best[end - length] + score[end - length]
-                better = total > best[end]
-                if better.any():
-                    best[end][better] = total[better]
-                    back[end][better] = length
-                    chosen[end][better] = ids[end - length][better]
+                score[end : end + h.shape[1], longest - 1] = self.unknown
+            ids[col + end, longest - length, row] = got
+            score[col + end, longest - length, row] = self.score[got]
+        return ids, score
+
+    def viterbi(self, points: np.ndarray) -> list[bytes]:
+        """Ids (little-endian uint32) of rows of code points, all of one length."""
+        rows, n = points.shape
+        longest = min(self.longest, n)
+        best = np.full((longest + n + 1, rows), -np.inf)  # places count from ``longest``
+        best[longest] = 0.0
+        begin = np.zeros((n + 1, rows), np.int64)
+        chosen = np.full((n + 1, rows), -1, np.int32)
+        every = np.arange(rows)
+        block = max(1, CELLS // rows)
+        for low in range(1, n + 1, block):
+            high = min(low + block, n + 1)
+            ids, score = self._tables(points, low, high, longest)
+            for end in range(low, high):
+                total = best[end : end + longest] + score[end - low]
+                pick = total.argmax(axis=0)  # on ties the longer piece stays
+                best[longest + end] = total[pick, every]
+                begin[end] = end - longest + pick
+                chosen[end] = ids[end - low, pick, every]
+        if rows == 1:
+            return [self._one(points[0], begin[:, 0].tolist(), chosen[:, 0].tolist())]
         at = np.full(rows, n)
         steps = []
-        every = np.arange(rows)
         while (at > 0).any():
             live = at > 0
             ids = np.where(live, chosen[at, every], -2)
-            at = at - np.where(live, back[at, every], 0)
-            steps.append((ids, at.copy()))
+            at = np.where(live, begin[at, every], 0)
+            steps.append((ids, at))
         out = []
         grid = np.stack([s[0] for s in steps[::-1]], axis=1) if steps else np.zeros((rows, 0), np.int64)
         place = np.stack([s[1] for s in steps[::-1]], axis=1) if steps else grid
         hard = (grid == -1).any(axis=1)
         for k in range(rows):
             ids = grid[k]
-            if hard[k]:
-                parts = []
-                for i, p in zip(ids.tolist(), place[k].tolist()):
-                    if i == -1:
-                        parts += self.bytes[np.frombuffer(chr(points[k, p]).encode("utf-8", "replace"), np.uint8)].tolist()
-                    elif i >= 0:
-                        parts.append(i)
-                out.append(np.array(parts, "<u4").tobytes())
-            else:
-                out.append(ids[ids >= 0].astype("<u4").tobytes())
+            out.append(self._spelled(points[k], ids.tolist(), place[k].tolist()) if hard[k] else ids[ids >= 0].astype("<u4").tobytes())
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def _one(self, points: np.ndarray, begin: list[int], chosen: list[int]) -> bytes:
+        ids, places, at = [], [], len(points)
+        while at > 0:
+            ids.append(chosen[at])
+            at = begin[at]
+            places.append(at)
+        return self._spelled(points, ids[::-1], places[::-1])
+
+    def _spelled(self, points: np.ndarray, ids: list[int], places: list[int]) -> bytes:
+        """The ids, letters without a piece as pieces of their bytes."""
+        parts: list[int] = []
+        for i, p in zip(ids, places):
+            if i == -1:
+                parts += self.bytes[np.frombuffer(chr(points[p]).encode("utf-8", "replace"), np.uint8)].tolist()
+            elif i >= 0:
+                parts.append(i)
+        return np.array(parts, "<u4").tobytes()
+
+    def solve(self, words: set[str]) -> dict[str, bytes]:
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
+        out: dict[str, bytes] = {}
         for n, group in by_length.items():
             step = max(1, CELLS // n)
             for a in range(0, len(group), step):
                 part = group[a : a + step]
                 points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-                self.memory.update(zip(part, self.viterbi(points)))
+                out.update(zip(part, self.viterbi(points)))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. The model's normaliser is the identity: a space is put in front
@@ -145,8 +172,10 @@ class Pieces:
         wanted = {w for words in cut for w in words}
         if len(self.memory) > self.size:
             self.memory = {}
-        self.learn(wanted.difference(self.memory))
-        return [b"".join(map(self.memory.__getitem__, words)) for words in cut]
+        fresh = self.solve(wanted.difference(self.memory))
+        self.memory.update((w, ids) for w, ids in fresh.items() if len(w) <= REMEMBERED)
+        known = self.memory
+        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; broken UTF-8 from byte pieces becomes replacement characters."""
@@ -197,6 +226,6 @@ def encode_pieces(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     A null or empty text has no ids. The file's pieces and scores are used as they stand; its
     scores are merge ranks, so ids are the best-scored segmentation, not the merge order's.
     Characters without a piece become byte pieces. The space letter itself reads as a space.
-    Repeated rows are encoded again, with equal results.
+    Repeated rows are encoded again, with equal results. Texts are encoded whole.
     """
     return docs.select("doc_id", "text").mapInArrow(_run(vocabulary), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean, ids array<int>")
