@@ -19,8 +19,8 @@ LONGEST = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 STEP_BYTES = 4 << 20
-#: Entries of a worker's cache of encoded chunks; it starts anew when full.
-CACHE = 300_000
+#: Entries of a worker's cache of encoded chunks, and their letters; it starts anew when full.
+CACHE, CACHE_LETTERS = 300_000, 8 << 20
 
 # Fixed by the vocabulary file: its pre-tokenizer's pattern and its special tokens.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼½¾]|[^\\sa-zA-Z0-9ªµº²³¹¼½¾À-ÖØ-öø-ſ]+")
@@ -68,7 +68,7 @@ class ChunkEncoder:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.letters = _Letters()
-        self.size = size
+        self.size, self.held = size, 0
 
     def slow(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,6 +76,7 @@ class ChunkEncoder:
     def learn(self, chunks: set[str]) -> None:
         cut = {x: [x] if x.isascii() and x.isalpha() else _PIECE.findall(x) for x in chunks}
         words = list({w for found in cut.values() for w in found}.difference(self.words))
+        self.held += sum(map(len, chunks))
         if len(self.words) + len(words) > self.size:
             self.words = {}
             words = list({w for found in cut.values() for w in found})
@@ -98,8 +99,8 @@ class ChunkEncoder:
             words = text.lower().split()
             kinds = set(words)
             if missing := kinds.difference(self.chunks):
-                if len(self.chunks) > self.size:
-                    self.chunks, missing = {}, kinds
+                if len(self.chunks) > self.size or self.held > CACHE_LETTERS:
+                    self.chunks, self.words, missing, self.held = {}, {}, kinds, 0
                 self.learn(missing)
             out.append(b"".join(map(self.chunks.__getitem__, words)))
         return out
