@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.common import KEY, SPANS, joined_bytes, materialise, mix, row_key, text_chunks, words_at
+from astrolith.llm.common import KEY, PASSAGES, SPANS, joined_bytes, materialise, mix, row_key, text_chunks, words_at
 from astrolith.llm.shingles import word_hashes
 from astrolith.llm.suffixes import repeated_starts
 
 DEPTH = 400
 GRAM = 128
+#: Words of the shortest passage that counts as repeated: all over 50.
+PASSAGE = 51
 #: Bytes of a word in the sequences by which passages of words are found.
 WORD = 8
 STEP_BYTES = 2 << 20
@@ -106,7 +108,15 @@ def _scan(depth: int):
 
 def _extract(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in text_chunks(batches, "text", STEP_BYTES):
+            # of repeated rows, which lie side by side, one is enough
+            uids = batch.column("uid").to_numpy()
+            fresh = np.concatenate([[uids[0] != last], uids[1:] != uids[:-1]])
+            last = uids[-1]
+            batch = batch.filter(pa.array(fresh))
+            if not batch.num_rows:
+                continue
             data, offsets = joined_bytes(batch.column("text"))
             wanted = batch.column("wanted")
             flat = wanted.flatten()
@@ -165,13 +175,14 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, read: Callable = iter) -
     alike = materialise(alike, "alike")
     mixed = alike.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
     faces = alike.join(mixed, "h").select("h", "ck", "uid")
-    wanted = known.join(faces, ["h", "ck", "uid"]).groupBy("uid").agg(F.collect_list(F.struct("h", "ck", "pos", "a", "b")).alias("wanted"))
-    contexts = docs.select("uid", "text").join(wanted, "uid").select("text", "wanted").mapInArrow(lambda batches: _extract(depth)(read(batches)), "h long, ck long, a int, b int, context binary")
+    # repeated rows have one uid and equal anchors: one of them stands for all
+    wanted = known.join(faces, ["h", "ck", "uid"]).groupBy("uid").agg(F.collect_set(F.struct("h", "ck", "pos", "a", "b")).alias("wanted"))
+    contexts = docs.select("uid", "text").join(wanted, "uid").select("uid", "text", "wanted").mapInArrow(lambda batches: _extract(depth)(read(batches)), "h long, ck long, a int, b int, context binary")
     runs = contexts.repartition("h").sortWithinPartitions("h", "ck").mapInArrow(_sort_buckets(3 << 19, depth), "h long, ck long, a2 int, b2 int")
     whole = alike.where("n > 1").select("h", "ck", F.lit(None).cast("int").alias("a2"), F.lit(None).cast("int").alias("b2"))
     runs = materialise(whole.unionByName(runs.join(whole.select("h", "ck"), ["h", "ck"], "left_anti")), "runs")
     spans = known.join(runs, ["h", "ck"]).select("uid", (F.col("pos") - F.coalesce("a2", "a")).alias("s"), (F.col("pos") - F.coalesce("b2", "b") + depth).alias("e"))
-    return spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return spans.groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +220,8 @@ def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
     elsewhere too, however the space between their words is written. Words are told apart by 64 bits."""
     docs = docs.select("uid", "text")
     found = repeated_spans(docs, words * WORD, _as_words)
-    return docs.join(found, "uid").mapInArrow(_in_bytes(words), "uid long, spans array<struct<s: long, e: long>>")
+    spans = docs.join(found, "uid").mapInArrow(_in_bytes(words), "uid long, spans array<struct<s: long, e: long>>")
+    return spans.dropDuplicates(["uid"])
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,43 +232,48 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[np.concatenate([new[1:] - 1, [len(ends) - 1]])]
 
 
-def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[int], list[int]]]:
-    """Each text's bytes with the merged ranges to remove."""
+def _ranges(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    """The merged ranges of each row of ``batch`` in the columns ``names`` together."""
+    lists = [batch.column(n) for n in names]
+    flat = [(x.flatten().field("s").to_numpy(), x.flatten().field("e").to_numpy()) for x in lists]
+    ends = [np.cumsum(pc.list_value_length(x).fill_null(0).to_numpy()).tolist() for x in lists]
+    begins = [0] * len(lists)
+    for row in range(batch.num_rows):
+        now = [x[row] for x in ends]
+        if now == begins:
+            yield [], []
+            continue
+        s, e = (np.concatenate([f[k][b:n] for f, b, n in zip(flat, begins, now)]) for k in (0, 1))
+        begins = now
+        a, b = merged(s, e)
+        yield a.tolist(), b.tolist()
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[memoryview]:
     data, offsets = joined_bytes(batch.column("text"))
     view = memoryview(np.ascontiguousarray(data))
-    spans = batch.column(SPANS)
-    flat = spans.flatten()
-    s, e = flat.field("s").to_numpy(), flat.field("e").to_numpy()
-    begin = 0
-    for row, valid in enumerate(spans.is_valid().to_pylist()):
-        text = view[offsets[row] : offsets[row + 1]]
-        if not valid:
-            yield text, [], []
-            continue
-        end = begin + len(spans[row])
-        a, b = merged(s[begin:end], e[begin:end])
-        begin = end
-        yield text, a.tolist(), b.tolist()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield view[a:b]
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, "text", 4 * STEP_BYTES):
+    for batch in text_chunks(batches, "text", 2 * STEP_BYTES):
         out: list[tuple] = []
-        for text, starts, ends in _cuts(batch):
-            kept, last = hashlib.sha256(), 0
+        for text, (starts, ends), (first, last) in zip(_texts(batch), _ranges(batch, [SPANS]), _ranges(batch, [PASSAGES])):
+            kept, at = hashlib.sha256(), 0
             for a, b in zip(starts, ends):
-                kept.update(text[last:a])
-                last = b
-            kept.update(text[last:])
-            out.append((len(text), sum(ends) - sum(starts), len(starts), kept.hexdigest()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in zip(*out))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept.update(text[at:a])
+                at = b
+            kept.update(text[at:])
+            out.append((len(text), sum(ends) - sum(starts), len(starts), kept.hexdigest(), len(first), sum(last) - sum(first)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in zip(*out))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"])
 
 
 def _strip(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text", 4 * STEP_BYTES):
+        for batch in text_chunks(batches, "text", 2 * STEP_BYTES):
             texts: list[str] = []
-            for text, starts, ends in _cuts(batch):
+            for text, (starts, ends) in zip(_texts(batch), _ranges(batch, [SPANS, PASSAGES])):
                 keep, last = [], 0
                 for a, b in zip(starts, ends):
                     while a < b and text[a] & 0xC0 == 0x80:  # a character that begins before the range stays whole
@@ -274,29 +291,34 @@ def _strip(names: list[str]):
     return run
 
 
-def _with_spans(docs: DataFrame, words: int | None = None) -> DataFrame:
+def _with_spans(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the ranges of their repeated strings and of their repeated passages."""
     keyed = docs.withColumn(KEY, row_key())
     texts = keyed.select(F.col(KEY).alias("uid"), "text")
-    spans = repeated_spans(texts)
-    if words:
-        spans = spans.unionByName(repeated_passages(texts, words)).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans")).where("size(spans) > 0")
-    return keyed.join(spans.toDF(KEY, SPANS), KEY, "left")
+    spans, passages = repeated_spans(texts), repeated_passages(texts, words)
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    both = spans.select("uid", "spans", none.alias("passages")).unionByName(passages.select("uid", none.alias("spans"), F.col("spans").alias("passages")))
+    both = both.groupBy("uid").agg(F.first("spans", True).alias(SPANS), F.first("passages", True).alias(PASSAGES)).where(f"size({SPANS}) > 0 or size({PASSAGES}) > 0")
+    return keyed.join(both.withColumnRenamed("uid", KEY), KEY, "left")
 
 
-def dedup_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``.
+def dedup_digest(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_bytes) for each row of ``docs``.
 
+    Removed are the repeated strings of ``DEPTH`` bytes; n_passages counts the maximal runs of text that lie in
+    passages of ``words`` words and more that start elsewhere too, n_passage_bytes their bytes.
     A null text is empty; texts under ``DEPTH`` bytes lose nothing; of repeated rows
-    all copies lose what repeats, as every copy has its strings elsewhere too.
+    all copies lose what repeats, as every copy has its strings elsewhere too. Null ids stay.
+    Texts are read whole, long ones in segments.
     """
-    both = _with_spans(docs.select("doc_id", "text"))
-    return both.select("doc_id", "text", SPANS).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = _with_spans(docs.select("doc_id", "text"), words)
+    return both.select("doc_id", "text", SPANS, PASSAGES).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
 
 
-def strip_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
-    """``docs`` with its columns, repeated strings of ``DEPTH`` bytes cut from the texts, and if
-    ``words`` is given also repeated passages of so many words, which may be shorter. A cut never splits a
+def strip_repeats(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """``docs`` with its columns, repeated strings of ``DEPTH`` bytes cut from the texts, and
+    repeated passages of ``words`` words and more, which may be shorter. A cut never splits a
     character: one that lies partly outside a range stays. A null text stays null."""
     names = docs.columns
     both = _with_spans(docs, words)
-    return both.select(*names, SPANS).mapInArrow(_strip(names), docs.schema)
+    return both.select(*names, SPANS, PASSAGES).mapInArrow(_strip(names), docs.schema)
