@@ -20,6 +20,8 @@ from astrolith.llm.vectors import SHARD_ROWS, best, finite, matrix, search_block
 SCALE = 64
 #: Rows of a shard whose postings are traversed together, and terms that are probed together.
 STRIDE, PROBE = 2048, 8
+#: Queries that one task searches a shard for.
+QUERY_ROWS = 512
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -85,27 +87,34 @@ def _answer(k: int):
         width = len(shard.lists)
         queries = np.floor(SCALE * matrix(table.column("v").combine_chunks()))
         queries = widened(queries, max(width, queries.shape[1]))[:, : max(width, 1)]
-        for own, query in zip(table.column("vec_id").to_pylist(), queries):
-            yield own, *shard.top(own, query[:width], k)
+        for own, name, query in zip(table.column("vec_id").to_pylist(), table.column("query").to_pylist(), queries):
+            ids, scores = shard.top(own, query[:width], k)
+            yield np.full(len(ids), name), np.full(len(ids), own), ids, np.array(scores, np.int64)
 
     return run
 
 
-def top_inner(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_inner(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows of ``vectors`` (vec_id,
     embedding) by the inner product of floor(64 x).
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows
-    without an id. Shorter vectors count as filled up with zeros; of rows with one id each is a
-    candidate, for all queries but those of its id; equal queries are answered once.
+    without an id. Shorter vectors count as filled up with zeros. Of rows with one id each is a
+    candidate, for all queries but those of its id, and each different vector is a query.
+    Every shard meets the queries in blocks, each pair of them in its own group of rows.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & finite("embedding")).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    shards = max(1, -(-rows.count() // shard_rows))
-    searched = rows.select(F.expr(f"cast(pmod(xxhash64(vec_id, v), {shards}) as int)").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
-    queries = rows.where(f"vec_id % {every} = 0").dropDuplicates(["vec_id"])
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v")
-    parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = searched.unionAll(queries).repartition(parts, "shard").sortWithinPartitions("shard", "is_query", "vec_id")
-    run = search_blocks(("shard",), _build, _answer(k), ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64()])
-    return best(both.mapInArrow(run, "query_id long, vec_id long, score long"), k)
+    rows = rows.withColumn("query", F.xxhash64("vec_id", "v"))
+    asked = F.col("vec_id") % every == 0
+    size = rows.agg(F.count("*").alias("rows"), F.count_if(asked).alias("queries")).first()
+    shards, blocks = max(1, -(-size.rows // shard_rows)), max(1, -(-size.queries // query_rows))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda n: F.pmod("query", F.lit(n)).cast("int")
+    searched = rows.withColumn("shard", part(shards)).withColumn("block", each(blocks)).withColumn("is_query", F.lit(False))
+    queries = rows.where(asked).dropDuplicates(["vec_id", "query"]).withColumn("block", part(blocks)).withColumn("shard", each(shards)).withColumn("is_query", F.lit(True))
+    columns = ["shard", "block", "is_query", "vec_id", "query", "v"]
+    tasks = max(shards * blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = searched.select(columns).unionAll(queries.select(columns)).repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "is_query", "vec_id")
+    run = search_blocks(("shard", "block"), _build, _answer(k), ["query", "query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.int64()])
+    return best(both.mapInArrow(run, "query long, query_id long, vec_id long, score long"), k)

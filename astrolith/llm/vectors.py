@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from astrolith.llm.common import release
+
 #: Rows that one block of the searched table holds.
 SHARD_ROWS = 16_384
 
@@ -41,13 +43,12 @@ def widened(a: np.ndarray, width: int) -> np.ndarray:
 
 def search_blocks(key: tuple[str, ...], build: Callable[[pa.Table], object], answer: Callable[[object, pa.Table], Iterator[tuple]], names: list[str], types: list[pa.DataType]):
     """For mapInArrow over rows sorted by key and ``is_query``: ``build`` makes an index of each
-    key's rows, ``answer`` yields (query_id, ids, scores) for batches of its queries."""
+    key's rows, ``answer`` yields arrays of the columns ``names`` for batches of its queries."""
 
     def flush(index, parts):
-        found = [x for x in answer(index, pa.concat_tables(parts)) if len(x[1])]
+        found = [x for x in answer(index, pa.concat_tables(parts)) if len(x[-1])]
         if found:
-            columns = [np.repeat([x[0] for x in found], [len(x[1]) for x in found]), np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*found), types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, index = None, [], None
@@ -69,11 +70,13 @@ def search_blocks(key: tuple[str, ...], build: Callable[[pa.Table], object], ans
                     if index is None:
                         index, rows = build(pa.concat_tables(rows)), []
                     yield from flush(index, [part])
+        release()
 
     return run
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    """Each query's k best rows of all blocks, ranked from 1; ties go to the smaller id."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    """Each query's k best rows of all blocks, ranked from 1; ties go to the smaller id. ``query`` tells
+    apart the queries of one id."""
+    order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
