@@ -3,8 +3,8 @@
 A term t discloses the protected value e by its pointwise mutual information with it,
 ``log2(n(e,t) * N / (n(e) * n(t)))``, estimated from co-occurrence over all documents. The
 value's own information is ``log2(N / n(e))``; a term that conveys at least ``GENERALISE``
-of it is replaced by a general label wherever it stands in a document that holds e, from
-``REMOVE`` on it is cut out.
+of it is replaced by the general kind of word that it is wherever it stands in a document that
+holds e, from ``REMOVE`` on it is cut out. Documents without e keep it: there it tells of nothing.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"
 GENERALISE, REMOVE = 0.8, 0.95
 #: Documents in which a term must occur with a value before the estimate counts as evidence.
 SUPPORT = 2
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Distinct terms, or pairs of values and terms, that a task counts before it hands on its partial sums.
-HELD = 400_000
+HELD = 200_000
 
 # Fixed patterns of the base kinds, in possessive form where that cannot change a match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -206,7 +206,7 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): uid, doc_id, counts and digest of the base
     spans, and ``spans``: all spans as structs (s, order, kind, e, remove), those of disclosing
     terms included. A null text is empty. Repeated rows count as documents of their own and
-    get equal spans."""
+    get equal spans. Null ids stay. Texts are read whole."""
     docs = docs.select("doc_id", "text", row_key().alias("uid"))
     found = materialise(docs.select("uid", "doc_id", "text").mapInArrow(_find, _FOUND), "found")
     told = disclosures(docs, found)
@@ -225,6 +225,13 @@ def span_text(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _label(kind: str, word: str) -> str:
+    """What a span becomes; of a term what kind of word it is, by its capitals."""
+    if kind != "term":
+        return LABELS[kind]
+    return "<NAME>" if word.istitle() else "<INITIALS>" if word.isupper() else LABELS[kind]
+
+
 def _rewrite(names: list[str]):
     def clean(text: str | None, spans: list[dict] | None) -> str | None:
         if not text or not spans:
@@ -236,7 +243,7 @@ def _rewrite(names: list[str]):
             # where spans overlap, one label stands for all of them
             if x["s"] >= at:
                 out.append(text[at : x["s"]])
-                out.append("" if x["remove"] else LABELS[x["kind"]])
+                out.append("" if x["remove"] else _label(x["kind"], text[x["s"] : x["e"]]))
             at = x["e"]
         return "".join(out) + text[at:]
 

@@ -58,7 +58,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from astrolith.llm.pii import personal_spans, span_text
 
     found = personal_spans(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", span_text("spans").alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", span_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
