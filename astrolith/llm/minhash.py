@@ -250,8 +250,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ids = signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     labels = ids.join(last.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labels = labels.join(labels.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id", "label")
-    own = signed.select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
-    return own.join(labels, "cls", "left").select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
+    # rows without shingles need no join, in which they would all have the same key
+    own = signed.where("n_shingles > 0").join(labels, "cls").select("uid", "doc_id", "n_shingles", "component_id", "label")
+    return own.unionByName(signed.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label")))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
