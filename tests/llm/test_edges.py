@@ -4,8 +4,9 @@ import math
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from astrolith.llm import cotrain, ivfpq, langid, maxscore, minhash, packing, pieces, pii, ring, suffixdedup
+from astrolith.llm import common, cotrain, ivfpq, langid, maxscore, minhash, packing, pieces, pii, ring, suffixdedup
 from tests.llm.docs import ROWS, documents, empty
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -94,7 +95,8 @@ def test_few_vectors_are_all_found(spark, n):
     rows = [(k, [math.cos(2.4 * k), math.sin(2.4 * k)]) for k in range(n)] + [(0, [0.1 * k, 1.0]) for k in range(4)]
     near = ivfpq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).collect()
     count = {k: sum(r.query_id == k for r in near) for k in range(n)}
-    assert count == {k: min(5, sum(r[0] != k for r in rows)) for k in range(n)}
+    asked = {k: len({tuple(r[1]) for r in rows if r[0] == k}) for k in range(n)}
+    assert count == {k: asked[k] * min(5, sum(r[0] != k for r in rows)) for k in range(n)}
 
 
 def test_packed_ids_lie_in_one_piece(spark):
@@ -109,3 +111,43 @@ def test_packed_ids_lie_in_one_piece(spark):
     one = sorted(by[11], key=lambda r: r.start)
     assert one[0].start == 0 and all(a.start + a.length == b.start for a, b in zip(one, one[1:]))
     assert one[-1].start + one[-1].length == one[0].doc_tokens and one[-1].ids[-1] == packing.END_ID
+
+
+def test_samples_are_full_whatever_is_alike(spark):
+    """Exactly k distinct rows where there are as many, with null keys and with one row ten thousand times."""
+    rows = spark.range(300).selectExpr("cast(null as long) as id", "id % 150 as n").unionAll(spark.range(10_000).selectExpr("7L as id", "7L as n"))
+    for k in (1, 10, 100, 151, 500):
+        got = common.least_hashes(rows, k).to_pylist()
+        assert len(got) == min(k, 151) == len({(r["id"], r["n"]) for r in got})
+    assert common.least_hashes(rows.limit(0), 5).num_rows == 0
+
+
+def test_languages_with_null_and_equal_ids(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.lit(None).cast("long").alias("doc_id"), "text", "lang")
+    docs = docs.unionAll(docs.limit(1).crossJoin(spark.range(2000)).drop("id"))
+    rows = langid.identify(docs, 100).collect()
+    assert len(rows) == docs.count() and sum(r.lang_pred == "und" for r in rows) < 0.05 * len(rows)
+
+
+def test_quality_with_one_id_for_many_rows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.when(F.col("doc_id") % 3 == 0, 3).otherwise(F.col("doc_id")).alias("doc_id"), "text", "lang", "source")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    rows = cotrain.quality(docs, labels).collect()
+    assert len(rows) == docs.count() and len({r.score for r in rows}) > 10
+
+
+def test_search_with_more_equal_vectors_than_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ivfpq, "SAMPLE", 5)
+    rows = [(k, [1.0, 2.0]) for k in range(100)] + [(100 + k, [float(k), 1.0]) for k in range(3)]
+    near = ivfpq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).collect()
+    assert {k: sum(r.query_id == k for r in near) for k in range(103)} == dict.fromkeys(range(103), 5)
+    assert sorted(r.vec_id for r in near if r.query_id == 0) == [1, 2, 3, 4, 5]
+
+
+def test_every_vector_of_an_id_is_a_query(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    inner = sorted((r["rank"], r.vec_id, r.score) for r in maxscore.top_inner(v).collect())
+    assert inner == [(1, 1, 4096), (1, 2, 8192), (2, 1, 0), (2, 2, 0)]
+    near = sorted((r["rank"], r.vec_id, r.score) for r in ivfpq.nearest(v, every=20).collect())
+    assert near == [(1, 1, 1.0), (1, 2, 1.0), (2, 1, 0.0), (2, 2, 0.0)]

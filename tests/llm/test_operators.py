@@ -2,13 +2,16 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from astrolith.llm import components, cotrain, ivfpq, langid, maxscore, minhash, packing, pieces, pii, queries, ring, suffixdedup, suffixes
 
@@ -64,6 +67,52 @@ def test_repeats_against_all_strings(spark):
     assert stripped[100] == "" and stripped[106] is None and stripped[105] == texts[105]
 
 
+def _plain_passages(texts, words=51):
+    """(runs, bytes) that lie in passages of so many words which start elsewhere too."""
+    where, cut = Counter(), {}
+    for k, t in texts.items():
+        cut[k] = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())]
+        raw = (t or "").encode()
+        names = [raw[a:b] for a, b in cut[k]]
+        cut[k] = (cut[k], names)
+        where.update(tuple(names[i : i + words]) for i in range(len(names) - words + 1))
+    out = {}
+    for k, (spans, names) in cut.items():
+        gone = np.zeros(len((texts[k] or "").encode()), bool)
+        for i in range(len(names) - words + 1):
+            if where[tuple(names[i : i + words])] > 1:
+                gone[spans[i][0] : spans[i + words - 1][1]] = True
+        out[k] = (int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1)), int(gone.sum()))
+    return out
+
+
+def test_passages_against_all_passages(spark):
+    rng = random.Random(7)
+    words = [f"{rng.randrange(10**4):x}" for _ in range(3000)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    shared = make(140)
+    texts = {k: " ".join([*make(20), *shared[k : k + 45 + k], *make(9)]) for k in range(30)}
+    texts |= {50: " ".join(shared[:60] + make(3) + shared[60:120]), 51: "\n".join(shared[:51]), 52: " ".join(shared[:50]), 53: None, 54: "é " * 120}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: (r.n_passages, r.n_passage_bytes) for r in suffixdedup.dedup_digest(docs).collect()}
+    assert rows == _plain_passages(texts) and rows[51] == (1, len(texts[51])) and rows[52] == (0, 0)
+
+
+def test_many_equal_rows_take_their_share(spark):
+    """Thousands of copies of rows, some in texts of their own too: no list grows with the copies."""
+    rng = random.Random(11)
+    make = lambda n: " ".join(f"{rng.randrange(36**4):x}" for _ in range(n))
+    a, b = make(120), make(150)
+    rows = [(1, a)] * 4000 + [(2, b)] * 3000 + [(3, f"{make(30)} {a} {make(20)}"), (4, f"{make(30)} {b[:450]} {make(20)}"), (5, make(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.dedup_digest(docs).collect())
+    few = {1: a, 11: a, 2: b, 12: b, 3: rows[-3][1], 4: rows[-2][1], 5: rows[-1][1]}
+    want = _plain_repeats(few)
+    assert got == Counter({(1, *want[1]): 4000, (2, *want[2]): 3000, **{(k, *want[k]): 1 for k in (3, 4, 5)}})
+    wide = suffixdedup.repeated_spans(docs.select(F.xxhash64("doc_id", "text").alias("uid"), "text")).agg(F.max(F.size("spans"))).first()[0]
+    assert wide < 50
+
+
 def test_short_worded_passages_go(spark, small):
     """A passage of 51 short words that two documents share goes; one of 50 words stays."""
     import corpus_pipeline
@@ -200,6 +249,53 @@ def test_disclosing_terms_of_the_whole_document(spark):
     assert all("quaxley" not in clean[k] and "zebulon" not in clean[k] for k in range(3)) and clean[12] == rows[5][1]
 
 
+def _plain_terms(rows):
+    """Spans of the terms that convey enough of a value, each row a document."""
+    docs = []
+    for _, text in rows:
+        spans = pii.base_spans(text or "")
+        free = [m for m in re.finditer(r"[^\W\d_]+", text or "") if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        values = {(kind, text[a:b].lower() if kind in ("email", "ip") else re.sub(r"\D", "", text[a:b])) for kind, a, b in spans}
+        docs.append((values, free, {m[0].lower() for m in re.finditer(r"[^\W\d_]+", text or "")}))
+    total = len(docs)
+    n_value = Counter(v for values, _, _ in docs for v in values)
+    n_term = Counter(t for _, _, terms in docs for t in terms)
+    both = Counter((v, t) for values, free, _ in docs for v in values for t in {m[0].lower() for m in free})
+    told = {}
+    for (v, t), n in both.items():
+        if n >= pii.SUPPORT and n_value[v] < total:
+            share = math.log2(n * total / (n_value[v] * n_term[t])) / math.log2(total / n_value[v])
+            if share >= pii.GENERALISE - 1e-12:
+                told.setdefault(v, set()).add(t)
+    return [[(m.start(), m.end()) for m in free if any(m[0].lower() in told.get(v, ()) for v in values)] for values, free, _ in docs]
+
+
+def test_disclosing_terms_against_all_counts(spark):
+    """Mutual information of every term and value, rows repeated up to twenty times."""
+    rng = random.Random(12)
+    common = [f"{a}{b}" for a in ("ba", "do", "ke", "lu") for b in ("ra", "ni", "to")]
+    rows = []
+    for k in range(60):
+        who = k % 9
+        said = [rng.choice(common) for _ in range(12)] + [f"name{'abcdefghi'[who]}"] * (k % 5 != 0) + [f"w{'abcdefghi'[who]}@ex.org"] * (k % 4 != 1) + ["10.0.0.%d" % who] * (k % 7 == 2)
+        rng.shuffle(said)
+        rows += [(k, " ".join(said))] * (20 if k % 11 == 0 else 1 + k % 3 // 2)
+    rows += [(100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, [(x.s, x.e) for x in r.spans if x.kind == "term"]) for r in pii.personal_spans(docs).collect())
+    want = sorted((k, spans) for (k, _), spans in zip(rows, _plain_terms(rows)))
+    assert got == want and sum(bool(x) for _, x in want) > 20
+
+
+def test_segments_change_no_posterior():
+    rng = np.random.default_rng(1)
+    lengths = np.array([5, 1300, 512, 513, 2000, 1])
+    e, a, i = rng.normal(size=(lengths.sum(), 4)) * 3, rng.normal(size=(4, 4)), rng.normal(size=4)
+    want = langid.posteriors(e, a, i, lengths)[0]
+    for segment in (16, 512, 700, 5000):
+        assert np.allclose(langid.marginals(e, a, i, lengths, segment), want, atol=1e-12)
+
+
 def test_forward_backward_against_all_labellings():
     rng = np.random.default_rng(0)
     k, lengths = 3, np.array([3, 1, 4])
@@ -226,8 +322,8 @@ def test_languages_of_held_out_documents(spark, small):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert held and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
-    switched = langid._Reader(langid.fit(docs)).read(["", "12 34", docs.where("lang = 'de'").first().text])
-    assert switched[0] == ("und", 0.0) and switched[1] == ("und", 0.0) and switched[2][0] == "de"
+    switched = langid._Reader(langid.fit(docs)).read(["", "12 34", "½ ² 12 Ⅷ", docs.where("lang = 'de'").first().text])
+    assert switched[:3] == [("und", 0.0)] * 3 and switched[3][0] == "de"
 
 
 def _plain_viterbi(p, word):
@@ -257,6 +353,61 @@ def test_pieces_are_the_best_segmentation(texts):
         assert p.decode(ids) == word
 
 
+def _varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + _varint(n >> 7)
+
+
+def _field(tag, raw):
+    return bytes([tag << 3 | 2]) + _varint(len(raw)) + raw
+
+
+def test_ids_are_the_librarys_for_a_unigram_model(texts, tmp_path):
+    """The pieces of the file with scores of a unigram model: the library finds the same ids."""
+    import public_tokenizers
+    import sentencepiece
+
+    file = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.VOCABULARY))
+    raw = b""
+    for k in range(file.vocab_size()):
+        name = file.id_to_piece(k)
+        kind = 2 if file.is_unknown(k) else 3 if file.is_control(k) else 6 if file.is_byte(k) else 1
+        score = -math.log(k + 10) - math.sqrt(len(name)) / 7 if kind == 1 else 0.0
+        raw += _field(1, _field(1, name.encode()) + b"\x15" + struct.pack("<f", score) + b"\x18" + bytes([kind]))
+    # model type unigram with byte fallback; no normalisation but a space in front
+    raw += _field(2, b"\x18\x01\x98\x02\x01") + _field(3, _field(1, b"identity") + b"\x18\x01\x20\x00\x28\x01")
+    (tmp_path / "unigram.model").write_bytes(raw)
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    p = pieces.Pieces(str(tmp_path / "unigram.model"))
+    rng = random.Random(1)
+    odd = ["日本語x", "a\x00b", "the" * 30, "x" * 100, "éé ü 😀 q", "  two  spaces ", "line\n\nbreak\t x", "".join(rng.choice("abcdefghijkl") for _ in range(5000))]
+    many = [t for t in texts.values() if t][:120] + odd
+    same = 0
+    for text, ids in zip(many, p.encode(many)):
+        want, got = library.encode(text), np.frombuffer(ids, "<u4").tolist()
+        same += want == got
+        # the library adds up in single precision, so of equal sums it may take another
+        assert want == got or math.isclose(sum(map(library.get_score, want)), sum(map(library.get_score, got)), abs_tol=1e-2)
+        assert p.decode(ids) == text
+    assert same >= 0.9 * len(many)
+
+
+def test_long_words_pass_in_blocks(monkeypatch):
+    """Without a space in half a million letters: bounded in time, and equal whatever the blocks."""
+    import time
+
+    p = pieces.model()
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghij日本XYZ019+/") for _ in range(3000))
+    whole = p.encode([text])
+    monkeypatch.setattr(pieces, "CELLS", 17)
+    assert p.encode([text]) == whole
+    monkeypatch.undo()
+    began = time.time()
+    long = "".join(rng.choice("ABCabcdefghijklmnop0123456789+/") for _ in range(500_000))
+    assert p.decode(p.encode([long])[0]) == long and time.time() - began < 60
+    assert all(len(w) <= pieces.REMEMBERED for w in p.memory)
+
+
 def test_pieces_round_trip(spark, small):
     assert all(r.round_trip for r in queries.op3_pieces(spark, small).collect())
 
@@ -340,6 +491,29 @@ def test_search_among_equal_vectors(spark):
     assert hits >= 0.9 * total
 
 
+def test_codes_decide_among_many_vectors(spark):
+    """Clustered vectors, more than lists hold: nearest ones are found though few are scored."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(150, 24))
+    x = centres[rng.integers(150, size=20_000)] + 0.25 * rng.normal(size=(20_000, 24))
+    ids = rng.permutation(20_000)
+    v = spark.createDataFrame([(int(k), r.tolist()) for k, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    rows = ivfpq.nearest(v, every=200).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    found = defaultdict(set)
+    for r in rows:
+        found[r.query_id].add(r.vec_id)
+    asked = np.flatnonzero(ids % 200 == 0)
+    hits = 0
+    for k in asked:
+        score = unit @ unit[k]
+        score[k] = -2
+        hits += len(found[ids[k]] & set(ids[np.argsort(-score)[:5]].tolist()))
+    assert hits >= 0.95 * 5 * len(asked)
+    quantiser = ivfpq.Quantiser(ivfpq._unit(x), 64)
+    assert ivfpq.probed(quantiser, ivfpq._unit(x), 5) <= 16  # of 64 lists
+
+
 def test_maxscore_skips_only_what_cannot_compete():
     rng = np.random.default_rng(2)
     shard = maxscore.Shard(np.arange(6000), np.floor(64 * rng.normal(size=(6000, 16))))
@@ -372,9 +546,44 @@ def test_co_training_uses_unlabelled_rows():
     label = rng.integers(2, size=600).astype(float)
     text = [np.unique(rng.integers(0, 40, 6) + 40 * int(v)) for v in label]
     page = [np.unique(rng.integers(0, 20, 4) + 20 * int(v)) for v in label]
-    target = np.where(np.arange(600) < 60, label, np.nan)
-    both, _, _ = cotrain.CoTrained(text, page, target).scores(text, page)
+    asked = []
+
+    def ask(models, quota, told):
+        offers = []
+        for view, (model, sets) in enumerate(zip(models, (text, page))):
+            margin = model.margins(*cotrain._flat(sets[60:]), 540)
+            for value, sure in ((1.0, margin), (0.0, -margin)):
+                top = [k for k in np.argsort(-sure).tolist() if cotrain._chance(sure[k]) >= cotrain.CONFIDENT and k not in told[view]]
+                offers += [(view, value, k, (text[60 + k], page[60 + k])) for k in top[: quota[value]]]
+        asked.append(offers)
+        return offers
+
+    both, _, _ = cotrain.CoTrained(text[:60], page[:60], label[:60], ask).scores(text, page)
     assert ((both > 0.5) == (label == 1)).mean() > 0.98
+    assert len(asked) == cotrain.ROUNDS and all(label[60 + k] == value for offers in asked for _, value, k, _ in offers)
+
+
+def test_surest_documents_are_the_best_of_all(spark, small):
+    """What a round hands over against a plain ranking of all documents, copies once."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text is not null")
+    docs = docs.unionAll(docs.where("doc_id % 3 = 0")).repartition(7)
+    rows = docs.select("text", "lang", "source", F.xxhash64("text", "lang", "source").alias("mark"))
+    rng = np.random.default_rng(1)
+    models = []
+    for slots in (cotrain.SLOTS, cotrain._SMALL):
+        models.append(cotrain.Linear(slots, 0.0))
+        models[-1].weights = rng.normal(size=slots)
+    got = rows.toPandas()
+    known = set(got.mark[:5].tolist())
+    offers = cotrain._asker(rows, known)(models, {1.0: 7, 0.0: 9}, [set(), set()])
+    found = {(view, label): [k for v, x, k, _ in offers if (v, x) == (view, label)] for view in (0, 1) for label in (0.0, 1.0)}
+    batch = rows.toArrow().combine_chunks().to_batches()[0]
+    _, *views = cotrain._views(batch, cotrain._Slots())
+    marks = batch.column("mark").to_numpy()
+    for (view, label), keys in found.items():
+        margin = models[view].margins(*cotrain._flat(views[view]), len(marks)) * (1 if label else -1)
+        best = dict(sorted(((m, x) for m, x, t in zip(marks.tolist(), margin, got.text) if x >= np.log(0.97 / 0.03) and m not in known and not t.isspace()), key=lambda x: (-x[1], x[0])))
+        assert set(keys) == set(list(best)[: 7 if label else 9])
 
 
 def test_pipeline_stages(spark, small):
