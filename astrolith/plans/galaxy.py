@@ -54,25 +54,36 @@ STATIONS_SQL = """stations AS (SELECT s_suppkey AS id, s_suppkey AS system_addre
   s_suppkey%7=3 AS is_carrier, CASE s_suppkey%7 WHEN 0 THEN 'starport' WHEN 1 THEN 'planetary_port' WHEN 2 THEN 'outpost' WHEN 3 THEN 'carrier' WHEN 4 THEN 'settlement' WHEN 5 THEN 'construction_depot' ELSE 'other' END AS class FROM supplier)"""
 
 
+#: Goods that stations trade.
+GOODS = 400
+
+
+def _symbol(part, letter: str = "c"):
+    return F.concat(F.lit(letter), (part % GOODS).cast("string"))
+
+
 def commodities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_partkey").alias("part"))
+    good = (F.col("p_partkey") % GOODS).alias("part")
+    rows = _read(spark, sf_dir, "part").groupBy(good).agg(F.min("p_name").alias("name"), F.min("p_type").alias("category"))
+    return rows.select(_symbol(F.col("part")).alias("symbol"), "name", "category", "part")
 
 
-COMMODITIES_SQL = "commodities AS (SELECT 'c'||p_partkey AS symbol, p_name AS name, p_type AS category, p_partkey AS part FROM part)"
+COMMODITIES_SQL = "commodities AS (SELECT 'c'||(p_partkey%400) AS symbol, min(p_name) AS name, min(p_type) AS category, p_partkey%400 AS part FROM part GROUP BY p_partkey%400)"
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Board rows as observed, several for a station and commodity."""
+    """Board rows as observed, several for a station and commodity, over the 60 days before ``NOW``."""
     s, p = F.col("l_suppkey"), F.col("l_partkey")
     floor_price = F.floor(900 + p * 0.1).cast("long")
+    age = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 1440
     return _read(spark, sf_dir, "lineitem").select(
-        s.alias("station_id"), F.concat(F.lit("c"), p.cast("string")).alias("symbol"), (floor_price + (s * 13) % 97).alias("buy_price"), (floor_price + (s * 29) % 131).alias("sell_price"),
-        F.col("l_quantity").cast("long").alias("supply"), (F.col("l_quantity") * 20).cast("long").alias("demand"), F.col("l_shipdate").cast("timestamp").alias("observed_at"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"),
+        s.alias("station_id"), _symbol(p).alias("symbol"), (floor_price + (s * 13) % 97).alias("buy_price"), (floor_price + (s * 29) % 131).alias("sell_price"),
+        F.col("l_quantity").cast("long").alias("supply"), (F.col("l_quantity") * 20).cast("long").alias("demand"), F.timestamp_seconds(F.unix_timestamp(F.lit(NOW).cast("timestamp")) - age * 3600).alias("observed_at"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"),
     )
 
 
-SIGHTINGS_SQL = """sightings AS (SELECT l_suppkey AS station_id, 'c'||l_partkey AS symbol, CAST(floor(900+l_partkey*0.1) AS BIGINT)+(l_suppkey*13)%97 AS buy_price, CAST(floor(900+l_partkey*0.1) AS BIGINT)+(l_suppkey*29)%131 AS sell_price,
-  CAST(l_quantity AS BIGINT) AS supply, CAST(l_quantity*20 AS BIGINT) AS demand, l_shipdate AS observed_at, l_orderkey AS "order", l_linenumber AS line FROM lineitem)"""
+SIGHTINGS_SQL = """sightings AS (SELECT l_suppkey AS station_id, 'c'||(l_partkey%400) AS symbol, CAST(floor(900+l_partkey*0.1) AS BIGINT)+(l_suppkey*13)%97 AS buy_price, CAST(floor(900+l_partkey*0.1) AS BIGINT)+(l_suppkey*29)%131 AS sell_price,
+  CAST(l_quantity AS BIGINT) AS supply, CAST(l_quantity*20 AS BIGINT) AS demand, TIMESTAMP '2001-12-01 00:00:00' - to_hours(CAST((l_orderkey*7+l_linenumber*13)%1440 AS BIGINT)) AS observed_at, l_orderkey AS "order", l_linenumber AS line FROM lineitem)"""
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +96,10 @@ MARKET_SQL = """market AS (SELECT station_id, symbol, buy_price, sell_price, sup
 
 
 def prohibited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_tax > 0.06").select(F.col("l_suppkey").alias("station_id"), F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("symbol")).distinct()
+    return _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_tax > 0.06 and l_discount > 0.07").select(F.col("l_suppkey").alias("station_id"), _symbol(F.col("l_partkey"), "C").alias("symbol")).distinct()
 
 
-PROHIBITED_SQL = "prohibited AS (SELECT DISTINCT l_suppkey AS station_id, 'C'||l_partkey AS symbol FROM lineitem WHERE l_returnflag='R' AND l_tax>0.06)"
+PROHIBITED_SQL = "prohibited AS (SELECT DISTINCT l_suppkey AS station_id, 'C'||(l_partkey%400) AS symbol FROM lineitem WHERE l_returnflag='R' AND l_tax>0.06 AND l_discount>0.07)"
 
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:

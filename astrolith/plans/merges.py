@@ -102,13 +102,15 @@ def overlay_applied(spark, d):
     return merge.apply_operations(old, net, ["address"], ["economy", "population"])
 
 
-@query(GALAXY_SQL + """, s AS (SELECT k AS id, "offset" AS step, CASE event WHEN 'signup' THEN 'add' WHEN 'error' THEN 'retract' ELSE 'update' END AS op, value FROM ev WHERE k<60 AND "offset"%40=k%40), w AS (SELECT *, lag(op) OVER (PARTITION BY id ORDER BY step) AS b FROM s),
+@query(GALAXY_SQL + """, s AS (SELECT "offset"//4 AS id, "offset" AS step, CASE WHEN "offset"%4=0 THEN 'add' WHEN "offset"%4=3 AND event='error' THEN 'retract' WHEN "offset"%4=3 AND event='signup' THEN 'add' ELSE 'update' END AS op, value FROM ev), w AS (SELECT *, lag(op) OVER (PARTITION BY id ORDER BY step) AS b FROM s),
  a AS (SELECT id, arg_min(op, step) AS f, arg_max(op, step) AS z, arg_max(value, step) AS value, bool_or(coalesce((op='add' AND b IN ('add','update')) OR (op<>'add' AND b='retract'), false)) AS bad FROM w GROUP BY id),
  r AS (SELECT id, CASE WHEN bad THEN 'error' WHEN f='add' AND z='retract' THEN NULL WHEN f='add' THEN 'add' WHEN z='add' THEN 'update' ELSE z END AS op, value FROM a) SELECT * FROM r WHERE op IS NOT NULL""")
 def overlay_net(spark, d):
-    ev = g.events(spark, d).where("k < 60 and offset % 40 = k % 40")
-    op = F.when(F.col("event") == "signup", "add").when(F.col("event") == "error", "retract").otherwise("update")
-    return merge.net_operations(ev.select(F.col("k").alias("id"), F.col("offset").alias("step"), op.alias("op"), "value"), ["id"], ["value"])
+    """Every event is a step of one of the chains of four: added, updated twice, and then as its kind says."""
+    place, event = F.col("offset") % 4, F.col("event")
+    op = F.when(place == 0, "add").when((place == 3) & (event == "error"), "retract").when((place == 3) & (event == "signup"), "add").otherwise("update")
+    steps = g.events(spark, d).select(F.floor(F.col("offset") / 4).cast("long").alias("id"), F.col("offset").alias("step"), op.alias("op"), "value")
+    return merge.net_operations(steps, ["id"], ["value"])
 
 
 @query(GALAXY_SQL + " SELECT symbol, min(part) AS part, count(*) AS n FROM (SELECT lower(trim(replace(name,' ','_'))) AS symbol, part FROM commodities) GROUP BY symbol")

@@ -107,10 +107,10 @@ def mining_ring_parents(spark, d):
     return g.rings(spark, d).select("ring", strings.ring_parent(F.col("ring")).alias("body")).join(g.bodies(spark, d).select("body"), "body").select("ring", "body")
 
 
-@query(GALAXY_SQL + """, marks AS (SELECT c_custkey AS mark, CASE WHEN c_custkey%2=0 THEN c_custkey END AS address, upper(c_name) AS name FROM customer WHERE c_custkey%10=1 OR c_custkey%10=4) SELECT mark, coalesce(a.address, b.address) AS address FROM marks m LEFT JOIN systems a ON a.address=m.address LEFT JOIN systems b ON m.address IS NULL AND lower(b.name)=lower(m.name)""")
+@query(GALAXY_SQL + """, marks AS (SELECT c_custkey AS mark, CASE WHEN c_custkey%2=0 THEN c_custkey END AS address, upper(c_name) AS name FROM customer) SELECT mark, coalesce(a.address, b.address) AS address FROM marks m LEFT JOIN systems a ON a.address=m.address LEFT JOIN systems b ON m.address IS NULL AND lower(b.name)=lower(m.name)""")
 def marks_resolved(spark, d):
     systems = g.systems(spark, d)
-    marks = systems.where("address % 10 in (1, 4)").select(F.col("address").alias("mark"), F.when(F.col("address") % 2 == 0, F.col("address")).alias("address"), F.lower("name").alias("key"))
+    marks = systems.select(F.col("address").alias("mark"), F.when(F.col("address") % 2 == 0, F.col("address")).alias("address"), F.lower("name").alias("key"))
     by_id = marks.join(systems.select("address", F.col("address").alias("a")), "address", "left")
     by_name = systems.select(F.lower("name").alias("key"), F.col("address").alias("b"))
     named = by_id.join(by_name, "key", "left")

@@ -88,9 +88,9 @@ def market_station_board(spark, d):
     return boards.station_board(g.market(spark, d), g.commodities(spark, d), 5)
 
 
-@query(GALAXY_SQL + ", hold AS (SELECT symbol, (part*7)%50+1 AS held FROM commodities WHERE part%40=3) SELECT station_id, CAST(sum(sell_price*least(held,demand)) AS BIGINT) AS credits, count(*) AS lines FROM market m JOIN hold h ON h.symbol=m.symbol WHERE sell_price>0 AND demand>0 GROUP BY station_id ORDER BY credits DESC, station_id LIMIT 30")
+@query(GALAXY_SQL + ", hold AS (SELECT symbol, (part*7)%50+1 AS held FROM commodities) SELECT station_id, CAST(sum(sell_price*least(held,demand)) AS BIGINT) AS credits, count(*) AS lines FROM market m JOIN hold h ON h.symbol=m.symbol WHERE sell_price>0 AND demand>0 GROUP BY station_id ORDER BY credits DESC, station_id LIMIT 30")
 def market_sell_hold(spark, d):
-    hold = g.commodities(spark, d).where("part % 40 = 3").select("symbol", ((F.col("part") * 7) % 50 + 1).alias("held"))
+    hold = g.commodities(spark, d).select("symbol", ((F.col("part") * 7) % 50 + 1).alias("held"))
     return boards.sell_hold(g.market(spark, d), hold)
 
 
