@@ -129,3 +129,109 @@ def sell_hold(market: DataFrame, hold: DataFrame, limit: int = 30) -> DataFrame:
     rows = market.join(F.broadcast(hold), "symbol").where("sell_price > 0 and demand > 0")
     take = F.least("held", "demand")
     return rows.groupBy("station_id").agg(F.sum(F.col("sell_price") * take).alias("credits"), F.count("*").alias("lines")).orderBy(F.desc("credits"), "station_id").limit(limit)
+
+
+def availability(systems: DataFrame, stations: DataFrame, board: DataFrame, search: Search, text: str | None = None, symbols: tuple[str, ...] = (), credits_only: bool = False) -> DataFrame:
+    """Which stations nearby offer modules or ships: those whose symbol holds ``text``, or one of ``symbols`` if
+    there are any; nearest first. ``credits_only`` leaves out what only other coins buy; an unknown
+    price stays."""
+    wanted = tuple(s for s in (x.strip().lower() for x in symbols) if s)
+    s = search.clamped()
+    rows = board.where(F.col("symbol").isin(*wanted) if wanted else F.lower("symbol").contains((text or "").strip().lower()))
+    if credits_only:
+        rows = rows.where("credits_price is null or credits_price > 0")
+    found = box(systems, stations, s).join(rows.withColumnRenamed("station_id", "id"), "id")
+    return found.orderBy("distance_ly", "id", "symbol").limit(s.limit)
+
+
+def seen_prices(sightings: DataFrame) -> DataFrame:
+    """The newest board of each market: for each symbol the least price over 0 in credits and in other coins (0
+    without one), and the variants that other coins buy."""
+    newest = sightings.groupBy("market_id").agg(F.max("ts").alias("ts"))
+    rows = sightings.join(newest, ["market_id", "ts"])
+    least = lambda c: F.coalesce(F.min(F.when(F.col(c) > 0, F.col(c))), F.lit(0))
+    variants = F.array_sort(F.collect_list(F.when(F.col("merc") > 0, F.col("variant"))))
+    return rows.groupBy("market_id", F.lower(F.trim("symbol")).alias("symbol"), "ts").agg(least("credits").alias("credits"), least("merc").alias("merc"), variants.alias("variants"))
+
+
+def power_ok(power: str | None, mode: str = "controls", state: str | None = None) -> Column:
+    """Whether a place (controlling_power, powers, power_state) suits: its power controls it, is
+    'present' (controlling or listed) or 'undermining' (present, not controlling); state 'none' means
+    that nobody holds it. Null asks for nothing."""
+    ok = F.lit(True)
+    if power is not None:
+        controls = F.coalesce(F.lower("controlling_power") == power.lower(), F.lit(False))
+        present = controls | F.coalesce(F.exists("powers", lambda x: F.lower(x) == power.lower()), F.lit(False))
+        ok = {"present": present, "undermining": present & ~controls}.get(mode, controls)
+    if state is None:
+        return ok
+    if state.lower() == "none":
+        return ok & F.col("power_state").isNull() & F.col("controlling_power").isNull()
+    return ok & F.coalesce(F.lower("power_state") == state.lower(), F.lit(False))
+
+
+def faction_ok(faction: str | None) -> Column:
+    return F.lit(True) if faction is None else F.coalesce(F.lower(F.trim("controlling_faction")) == faction.lower(), F.lit(False))
+
+
+def requested(stations: DataFrame, names: list[str], most_names: int = 200, most_rows: int = 1000) -> DataFrame:
+    """Stations of the named systems, in the order of the request, carriers last."""
+    keys = list(dict.fromkeys(n.strip().lower() for n in names if n.strip()))
+    if not 0 < len(keys) <= most_names:
+        raise ValueError(f"between 1 and {most_names} systems")
+    place = F.array_position(F.array(*(F.lit(k) for k in keys)), F.lower("system"))
+    rows = stations.withColumn("place", place).where("place > 0")
+    return rows.orderBy("place", "is_carrier", "station", "id").limit(most_rows)
+
+
+def one_of(**given: object) -> str:
+    """The name of the only argument that is set; an error unless it is exactly one."""
+    named = [k for k, v in given.items() if v not in (None, "", (), [])]
+    if len(named) != 1:
+        raise ValueError(f"exactly one of {', '.join(given)}")
+    return named[0]
+
+
+def exact_commodity(commodities: DataFrame, text: str) -> DataFrame:
+    """The commodity of that symbol or name, one with a name before one without."""
+    key = text.strip().lower()
+    rows = commodities.where((F.lower("symbol") == key) | (F.lower("name") == key))
+    return rows.orderBy(F.col("name").isNull() | (F.col("name") == ""), "symbol").limit(1)
+
+
+def banned_goods(prohibited: DataFrame, commodities: DataFrame) -> DataFrame:
+    """(station_id, symbol) of forbidden goods, listed by symbol or by name: two equi joins instead of
+    one join on either."""
+    listed = prohibited.select("station_id", F.lower("symbol").alias("listed")).distinct()
+    goods = commodities.select("symbol", F.lower("name").alias("named"))
+    by_symbol = listed.join(goods, F.col("listed") == F.lower("symbol"))
+    by_name = listed.join(goods, F.col("listed") == F.col("named"))
+    return by_symbol.select("station_id", "symbol").unionByName(by_name.select("station_id", "symbol")).distinct()
+
+
+def fresh_since(market: DataFrame, cutoff: str) -> DataFrame:
+    """Board rows observed at or after the cutoff."""
+    return market.where(F.col("observed_at") >= F.lit(cutoff).cast("timestamp"))
+
+
+def post_filter(rows: DataFrame, discounted: bool = False, pledged: str | None = None, carriers: bool = True) -> DataFrame:
+    """Rows that a search gave, narrowed: those with a discount, in a power's space, at stations that are no carriers."""
+    if discounted:
+        rows = rows.where("size(discounts) > 0")
+    if pledged is not None:
+        rows = rows.where(F.lower("controlling_power") == pledged.lower())
+    return rows if carriers else rows.where(~F.coalesce("is_carrier", F.lit(False)))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table."""
+    parts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def prefixed(c: Column, text: str) -> Column:
+    """Names that begin so, whatever the case; signs of patterns stand for themselves."""
+    return F.lower(c).startswith(text.strip().lower())

@@ -136,6 +136,55 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 RINGS_SQL = """rings AS (SELECT p_partkey AS body_id, 'Body '||p_partkey||' '||letter||' Ring' AS ring, CASE WHEN p_partkey%2=0 THEN 'eRingClass_MetalRich' ELSE 'eRingClass_Icy' END AS ring_class, CASE WHEN letter='A' THEN p_partkey%4 END AS hotspots FROM part, (VALUES ('A'),('B')) AS l(letter) WHERE p_partkey%3=0)"""
 
 
+STEMS = ("hpt_pulselaser_fixed_small", "hpt_cannon_gimbal_large", "hpt_shieldbooster_size0_class5", "int_hyperdrive_size5_class5", "int_cargorack_size4_class1", "int_hullreinforcement_size2_class2")
+HULLS = ("eagle", "vulture", "type9", "cutter", "asp", "sidewinder", "anaconda", "python")
+
+
+def _pick(names: tuple[str, ...], k):
+    return F.element_at(F.array(*(F.lit(n) for n in names)), (k + 1).cast("int"))
+
+
+def outfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules on offer: a stem and a number as symbol; no price known, or only other coins."""
+    n, s = F.col("n"), F.col("station_id")
+    rows = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("station_id"), (F.col("l_partkey") % 60).alias("n")).agg(F.max("l_shipdate").cast("timestamp").alias("observed_at"))
+    symbol = F.concat(_pick(STEMS, n % 6), F.lit("_"), F.floor(n / 6).cast("string"))
+    return rows.select("station_id", symbol.alias("symbol"), F.when(n % 5 == 0, 0).when(n % 5 != 1, 1000 * n + s).cast("long").alias("credits_price"), F.when(n % 5 == 0, n + 10).cast("long").alias("merc_price"), "observed_at")
+
+
+OUTFITTING_SQL = """outfitting AS (SELECT l_suppkey AS station_id, CASE n%6 WHEN 0 THEN 'hpt_pulselaser_fixed_small' WHEN 1 THEN 'hpt_cannon_gimbal_large' WHEN 2 THEN 'hpt_shieldbooster_size0_class5' WHEN 3 THEN 'int_hyperdrive_size5_class5' WHEN 4 THEN 'int_cargorack_size4_class1' ELSE 'int_hullreinforcement_size2_class2' END||'_'||(n//6) AS symbol,
+  CASE WHEN n%5=0 THEN 0 WHEN n%5<>1 THEN 1000*n+l_suppkey END AS credits_price, CASE WHEN n%5=0 THEN n+10 END AS merc_price, o AS observed_at FROM (SELECT l_suppkey, l_partkey%60 AS n, max(l_shipdate) AS o FROM lineitem GROUP BY 1,2))"""
+
+
+def shipyard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_suppkey").alias("station_id"), _pick(HULLS, F.col("l_orderkey") % 8).alias("symbol")).distinct()
+    return rows.withColumn("credits_price", F.lit(None).cast("long"))
+
+
+SHIPYARD_SQL = "shipyard AS (SELECT DISTINCT l_suppkey AS station_id, CASE l_orderkey%8 WHEN 0 THEN 'eagle' WHEN 1 THEN 'vulture' WHEN 2 THEN 'type9' WHEN 3 THEN 'cutter' WHEN 4 THEN 'asp' WHEN 5 THEN 'sidewinder' WHEN 6 THEN 'anaconda' ELSE 'python' END AS symbol FROM lineitem WHERE l_quantity>30)"
+
+
+def powered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systems with the powers that are present, and stations' factions."""
+    k = F.col("address")
+    powers = F.array_compact(F.array(F.when(k % 2 == 0, "Power 1"), F.when(k % 3 == 0, "Power 2"), F.when(k % 7 == 0, "Power 4")))
+    return systems(spark, sf_dir).withColumn("powers", powers).withColumn("controlling_faction", F.concat(F.lit(" Faction "), (k % 9).cast("string"), F.lit(" ")))
+
+
+POWERED_SQL = "powered AS (SELECT *, list_filter([CASE WHEN address%2=0 THEN 'Power 1' END, CASE WHEN address%3=0 THEN 'Power 2' END, CASE WHEN address%7=0 THEN 'Power 4' END], lambda x: x IS NOT NULL) AS powers, ' Faction '||(address%9)||' ' AS controlling_faction FROM systems)"
+
+
+def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of main stars, of three systems in four: class, when it was seen, and by whom."""
+    k = F.col("c_custkey")
+    names = ("Neutron", "WhiteDwarf", "BlackHole", "K", "G", "M", "T", "Exotic")
+    rows = _read(spark, sf_dir, "customer").where("c_custkey % 4 <> 3")
+    return rows.select(k.alias("address"), _pick(names, k % 8).alias("class"), F.timestamp_seconds(F.unix_timestamp(F.lit(NOW).cast("timestamp")) - (k % 90) * 86400).alias("observed_at"), F.when(k % 5 == 0, "navroute").otherwise("scan").alias("source"))
+
+
+STARS_SQL = "stars AS (SELECT c_custkey AS address, CASE c_custkey%8 WHEN 0 THEN 'Neutron' WHEN 1 THEN 'WhiteDwarf' WHEN 2 THEN 'BlackHole' WHEN 3 THEN 'K' WHEN 4 THEN 'G' WHEN 5 THEN 'M' WHEN 6 THEN 'T' ELSE 'Exotic' END AS class, TIMESTAMP '2001-12-01 00:00:00' - to_days(CAST(c_custkey%90 AS INTEGER)) AS observed_at, CASE WHEN c_custkey%5=0 THEN 'navroute' ELSE 'scan' END AS source FROM customer WHERE c_custkey%4<>3)"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal: one commander per user, one file per commander and day."""
     return _read(spark, sf_dir, "events").select(
@@ -154,4 +203,4 @@ def replay(*partition: str):
     return Window.partitionBy(*partition).orderBy(*ORDER)
 
 
-GALAXY_SQL = "WITH " + ",\n".join((SYSTEMS_SQL, STATIONS_SQL, COMMODITIES_SQL, SIGHTINGS_SQL, MARKET_SQL, PROHIBITED_SQL, SERVICES_SQL, BODIES_SQL, RINGS_SQL, EVENTS_SQL))
+GALAXY_SQL = "WITH " + ",\n".join((SYSTEMS_SQL, STATIONS_SQL, COMMODITIES_SQL, SIGHTINGS_SQL, MARKET_SQL, PROHIBITED_SQL, SERVICES_SQL, BODIES_SQL, RINGS_SQL, EVENTS_SQL, OUTFITTING_SQL, SHIPYARD_SQL, POWERED_SQL, STARS_SQL))

@@ -41,11 +41,11 @@ def market_sell(spark, d):
 
 
 @query(GALAXY_SQL + BOX_SQL + """ SELECT box.id, station, system, symbol, buy_price AS price, supply AS amount, round(distance_ly,6) AS distance_ly, arrival_ls, observed_at FROM fresh JOIN box ON box.id=fresh.station_id
-WHERE symbol='c11' AND buy_price>0 AND supply>=5 AND controlling_power IN ('Power 1','Power 2') ORDER BY distance_ly, price, id LIMIT 100""")
+WHERE symbol='c11' AND buy_price>0 AND supply>=5 AND controlling_power IS NOT NULL ORDER BY distance_ly, price, id LIMIT 100""")
 def market_buy_near(spark, d):
     from dataclasses import replace
 
-    search = replace(WIDE, powers=("Power 1", "Power 2"))
+    search = replace(WIDE, powers=("Power 1", "Power 2", "Power 3", "Power 4"))
     return _rounded(boards.market_search(g.systems(spark, d), g.stations(spark, d), g.market(spark, d), "c11", "buy", search, least=5, sort="distance"), "distance_ly")
 
 
@@ -78,9 +78,9 @@ def market_plausible(spark, d):
     return boards.plausible(market, stations, boards.price_envelope(market, stations), least=10).select("station_id", "symbol", "buy_price", "sell_price")
 
 
-@query(GALAXY_SQL + " SELECT symbol, name, category, symbol='ring' OR lower(name)='small ring' AS exact FROM commodities WHERE contains(lower(name),'small ring') ORDER BY exact DESC, name, symbol LIMIT 8")
+@query(GALAXY_SQL + " SELECT symbol, name, category, symbol='blue gear' OR lower(name)='blue gear' AS exact FROM commodities WHERE contains(lower(name),'blue gear') ORDER BY exact DESC, name, symbol LIMIT 8")
 def market_resolve(spark, d):
-    return boards.resolve_commodity(g.commodities(spark, d), " Small Ring ").select("symbol", "name", "category", "exact")
+    return boards.resolve_commodity(g.commodities(spark, d), " Blue Gear ").select("symbol", "name", "category", "exact")
 
 
 @query(GALAXY_SQL + " SELECT m.symbol, coalesce(c.name, m.symbol) AS commodity, category, buy_price, sell_price, supply, demand FROM market m LEFT JOIN commodities c ON c.symbol=m.symbol WHERE station_id=5")
