@@ -138,31 +138,6 @@ def burn_rates(events: DataFrame, used: Column, last: int = 15, prior: float = 0
     return events.select("commander").distinct().join(rates, "commander", "left").withColumn("rate", F.coalesce("rate", F.lit(prior)))
 
 
-def missions(events: DataFrame) -> DataFrame:
-    """Status of each mission (commander, mission): accepted, then completed, failed or abandoned by its
-    last event; a login list without an open mission completes it, and one past its expiry is expired.
-
-    ``events``: commander, mission, status, expiry, and list rows with status 'listed'; ordered by replay."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(ORDER))
-        state: dict[int, list] = {}
-        for r in rows.itertuples():
-            if r.status == "listed":
-                for m, s in state.items():
-                    if s[0] == "accepted" and m not in set(r.open_missions):
-                        s[0] = "completed"
-            elif r.status == "accepted":
-                state[r.mission] = ["accepted", r.ts, r.expiry]
-            elif r.mission in state and state[r.mission][0] == "accepted":
-                state[r.mission][0] = r.status
-        now = rows["ts"].max()
-        out = [(rows["commander"].iloc[0], m, "expired" if s[0] == "accepted" and s[2] is not None and not pd.isna(s[2]) and s[2] < now else s[0], s[1]) for m, s in state.items()]
-        return pd.DataFrame(out, columns=["commander", "mission", "status", "accepted_at"])
-
-    return events.groupBy("commander").applyInPandas(fold, "commander long, mission long, status string, accepted_at timestamp")
-
-
 def lock_to_kill(events: DataFrame) -> DataFrame:
     """Seconds from the first lock on a target since its last kill to its next kill.
 

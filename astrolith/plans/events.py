@@ -186,14 +186,6 @@ def feed_operations(spark, d):
     return feed.operations(ev.select(kind.alias("kind"), message.alias("message"))).select("op", "key", "at")
 
 
-@query()
-def events_missions(spark, d):
-    ev = g.events(spark, d)
-    status = F.when(_is("signup"), "accepted").when(_is("purchase"), "completed").when(_is("error"), "failed").when(_is("view"), "listed")
-    rows = ev.select("commander", "ts", "file", "offset", (F.col("k") % 7).alias("mission"), status.alias("status"), (F.col("ts") + F.expr("interval 2 days")).alias("expiry"), F.array(F.col("k") % 7).alias("open_missions"))
-    return j.missions(rows.where("status is not null"))
-
-
 @query()
 def events_callouts(spark, d):
     rows = g.events(spark, d).select("commander", "ts", "file", "offset", F.col("event").alias("kind"), (F.col("k") % 3).cast("string").alias("text"))

@@ -31,3 +31,8 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small():
     return f"{DATA}/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def medium():
+    return f"{DATA}/sf0.01"

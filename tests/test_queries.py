@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from astrolith import registry
-from astrolith.operators import graph, journal, merge, spatial, trade
+from astrolith.operators import combat, graph, journal, merge, spatial, trade
 from astrolith.sources import dumps, journals, published
 from astrolith.streaming import feed
 
@@ -21,11 +21,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="module")
-def duck(small):
+def duck(medium):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{medium}/{t}.parquet')")
     return con
 
 
@@ -43,12 +43,19 @@ def _sorted(names, rows):
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_query_equals_sql(spark, small, duck, name):
-    got = registry.queries()[name](spark, small)
+def test_query_equals_sql(spark, medium, duck, name):
+    got = registry.queries()[name](spark, medium)
     want = duck.execute(registry.oracle_sql()[name])
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
-    assert _sorted(got.columns, got.collect()) == _sorted(names, want.fetchall())
+    rows = got.collect()
+    assert rows and _sorted(got.columns, rows) == _sorted(names, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["trade_legs", "market_sell", "market_buy_near", "graph_hops", "systems_within", "stations_with_service", "outfitting_search"])
+def test_headline_queries_find_something(spark, small, medium, name):
+    assert registry.queries()[name](spark, medium).count() >= (10 if name == "stations_with_service" else 20)
+    assert name in ("graph_hops", "systems_within") or registry.queries()[name](spark, small).count() > 0
 
 
 def _cloud(n, seed=1, size=60.0):
@@ -132,7 +139,7 @@ def test_missions_fold(spark):
         (1, t(5), "f", 5, 10, "completed", None, None), (1, t(6), "f", 6, None, "listed", None, [11, 13]),
     ]
     frame = spark.createDataFrame(rows, "commander long, ts timestamp, file string, offset long, mission long, status string, expiry timestamp, open_missions array<long>")
-    assert {r.mission: r.status for r in journal.missions(frame).collect()} == {10: "completed", 11: "expired", 12: "completed", 13: "accepted"}
+    assert {r.mission: r.status for r in combat.missions(frame).collect()} == {10: "completed", 11: "expired", 12: "completed", 13: "accepted"}
 
 
 def test_inventory_equals_a_loop(spark):
@@ -298,3 +305,78 @@ def test_net_operations_of_the_whole_journal(spark, small):
             want[k] = ("add" if first == "add" else "update" if last == "add" else last, chain[-1].value)
     got = {r.id: (r.op, r.value) for r in merge.net_operations(spark.createDataFrame(told, steps.schema), ["id"], ["value"]).collect()}
     assert got == want and {"error", "update"} <= {x for x, _ in want.values()} and max(map(len, chains.values())) > 5
+
+
+def _plain_ships(snapshots, ships, transfers, docks):
+    """The same by a fold over each commander's journal."""
+    when = lambda r: (r["ts"], r["file"], r["offset"])
+    listed = {}
+    for r in ships:
+        listed.setdefault((r["commander"], when(r)), []).append(r)
+    steps = sorted([(r["commander"], when(r), 0, r) for r in snapshots] + [(r["commander"], when(r), 1, r) for r in transfers], key=lambda x: x[:3])
+    places = {r["market_id"]: (r["station"], r["system"]) for r in docks}
+    state = {}
+    for commander, at, kind, r in steps:
+        mine = state.setdefault(commander, {})
+        if kind == 0:
+            seen = set()
+            for x in listed.get((commander, at), []):
+                seen.add(x["ship_id"])
+                s = mine.setdefault(x["ship_id"], dict.fromkeys(("ship_type", "name", "system", "station", "market_id", "in_transit", "arrival", "as_of")))
+                s["ship_type"] = x["ship_type"] or s["ship_type"]
+                s["name"] = (x["name"] or "").strip() or s["name"]
+                s["as_of"] = r["ts"]
+                if x["here"]:
+                    s.update(system=r["system"], station=r["station"], market_id=r["market_id"], in_transit=False, arrival=None)
+                elif x["in_transit"]:
+                    s["in_transit"] = True
+                else:
+                    market = x["market_id"] if x["market_id"] is not None else s["market_id"]
+                    s.update(system=x["system"] or s["system"], market_id=market, station=places.get(market, (None,))[0] or s["station"], in_transit=False, arrival=None)
+            for k in set(mine) - seen:
+                del mine[k]
+        else:
+            s = mine.setdefault(r["ship_id"], dict.fromkeys(("ship_type", "name", "system", "station", "market_id", "in_transit", "arrival", "as_of")))
+            s.update(ship_type=r["ship_type"] or s["ship_type"], in_transit=True, market_id=r["market_id"], as_of=r["ts"])
+            if r["market_id"] is not None:
+                s["station"], s["system"] = places.get(r["market_id"], (None, None))
+            s["arrival"] = r["ts"] + datetime.timedelta(seconds=r["seconds"]) if r["seconds"] is not None else None
+    return {(c, k): tuple(s.values()) for c, mine in state.items() for k, s in mine.items()}
+
+
+def test_ships_against_a_fold(spark, small):
+    from astrolith.plans import fights
+
+    *parts, carriers = fights.ship_parts(spark, small)
+    got = {(r.commander, r.ship_id): (r.ship_type, r.name, r.system, r.station, r.market_id, r.in_transit, r.arrival, r.as_of) for r in combat.ship_locations(*parts).collect()}
+    want = _plain_ships(*([r.asDict() for r in p.collect()] for p in parts))
+    assert got == want and len(got) > 20
+    shown = registry.queries()["ships_located"](spark, small).collect()
+    assert len(shown) == len(want) and {"stored", "in_transit", "arrived"} <= {r.status for r in shown}
+    known = {r.carrier_id: r for r in carriers.collect()}
+    for r in shown:
+        s = want[r.commander, r.ship_id]
+        minutes = None if s[6] is None else (s[6] - datetime.datetime(2024, 1, 31)) // datetime.timedelta(minutes=1)
+        status = "aboard_carrier" if r.market_id in known else ("arrived" if minutes is not None and minutes <= 0 else "in_transit") if s[5] else "stored"
+        assert (r.status, r.minutes) == (status, minutes)
+        assert r.station == (known[r.market_id].callsign if r.market_id in known else s[3])
+
+
+def test_limits_against_a_loop(spark):
+    rng = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+    rows = sorted((rng.randrange(3), start + datetime.timedelta(seconds=rng.randrange(9000) / 10), k) for k in range(600))
+    state, want = {}, {}
+    for source, ts, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        passed = True
+        for name, seconds, most in (("burst", 10, 4), ("window", 100, 20)):
+            count, since = state.get((source, name), (0, None))
+            if since is None or (ts - since).total_seconds() >= seconds:
+                count, since = 0, ts
+            state[source, name] = (count + 1, since)
+            if count + 1 > most:
+                passed = False
+                break
+        want[k] = passed
+    got = {r.id: r.passed for r in combat.rate_limited(spark.createDataFrame(rows, "source long, ts timestamp, id long"), 100, 20, 10, 4).collect()}
+    assert got == want and 0 < sum(want.values()) < 600
