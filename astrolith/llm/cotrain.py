@@ -13,14 +13,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from astrolith.llm.common import joined_bytes, least_hashes, text_chunks
+from astrolith.llm.shingles import word_hashes
 
 #: Labelled rows that training reads at most (those of the least hashes).
 LABELLED = 6000
-SLOTS = 1 << 18
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 #: Rounds of exchange, the chance from which a view is sure, and the pseudo-labels that it hands
 #: over in a round: its surest ones among all documents.
 ROUNDS, CONFIDENT, EXCHANGED = 3, 0.97, 400
@@ -30,62 +32,58 @@ GROUPS = 64
 FOLD = 5
 THRESHOLD = 0.4
 STEP_BYTES = 2 << 20
-_STRIP = ".,;:!?\"'()[]"
 _SMALL = 512
-
-
-def _slot(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS
-
-
-class _Slots(dict):
-    """Slots of words, remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = slot = _slot(word.strip(_STRIP) or word)
-        return slot
-
-
-_SLOTS_KEPT = _Slots()
-
-
-def content(texts: list[str], slots: _Slots) -> list[np.ndarray]:
-    """The slots of each text's words: what is said, once each."""
-    get = slots.__getitem__
-    return [np.array(sorted({get(w) for w in set(x.lower().split())}), np.int64) for x in texts]
-
-
-def _bucket(name: str, value: float, most: int = 20) -> int:
-    return zlib.crc32(f"{name}:{min(int(value), most)}".encode()) % _SMALL
-
-
-def metadata(texts: list[str], data: np.ndarray, offsets: np.ndarray, lang: list, source: list) -> list[np.ndarray]:
-    """The slots of each page's language, source, size and layout: how it is made up."""
-    kinds = np.zeros(256, np.int64)
-    kinds[48:58] = 1
-    kinds[65:91] = 2
-    for c in b"!#$%&*+/<=>@\\^_`{|}~":
-        kinds[c] = 3
-    kinds[10] = 4
-    kinds[32] = 5
-    which = kinds[data]
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    counts = np.bincount(row * 6 + which, minlength=6 * len(texts)).reshape(-1, 6)
-    out = []
-    for k, text in enumerate(texts):
-        n = max(1, int(offsets[k + 1] - offsets[k]))
-        digits, capitals, signs, lines, spaces = (int(x) for x in counts[k][1:])
-        words = text.split()
-        kinds_of = len(set(words)) / max(1, len(words))
-        out.append(np.array([
-            _bucket("bias", 0), zlib.crc32(f"lang:{lang[k]}".encode()) % _SMALL, zlib.crc32(f"source:{source[k]}".encode()) % _SMALL,
-            _bucket("size", 2 * np.log2(n), 60), _bucket("digits", 40 * digits / n), _bucket("capitals", 25 * capitals / n),
-            _bucket("signs", 60 * signs / n), _bucket("lines", np.log2(1 + lines)), _bucket("per line", np.log2(1 + n / (1 + lines))),
-            _bucket("word", n / (1 + spaces + lines), 40), _bucket("variety", 20 * kinds_of), _bucket("variety by size", 20 * kinds_of + 32 * int(np.log2(1 + len(words)) / 2), 999),
-        ], np.int64))
-    return out
+#: Bytes that part words: space and the signs around them.
+_BREAKS = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r.,;:!?\"'()[]", np.uint8))
+_SOLID = ~np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+#: Kinds of bytes that make up a page: digits, capitals, signs, line ends, spaces, and all others.
+_KINDS = np.zeros(256, np.int64)
+_KINDS[48:58], _KINDS[65:91], _KINDS[10], _KINDS[32] = 1, 2, 4, 5
+_KINDS[np.frombuffer(b"!#$%&*+/<=>@\\^_`{|}~", np.uint8)] = 3
+#: Page features and the greatest value of each.
+_PAGE = {"size": 60, "digits": 20, "capitals": 20, "signs": 20, "lines": 20, "per line": 20, "word": 40, "variety": 20, "variety by size": 999}
+
+
+def _slot(name: str, value: object) -> int:
+    return zlib.crc32(f"{name}:{value}".encode("utf-8", "surrogatepass")) % _SMALL
+
+
+_TABLES = {name: np.array([_slot(name, v) for v in range(most + 1)]) for name, most in _PAGE.items()}
+
+
+class Views:
+    """The two feature sets of a batch's documents: slots of ``content``, what is said, once
+    each, and of the ``page``, its language, source, size and layout."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        data, offsets = joined_bytes(batch.column("text"))
+        count = batch.num_rows
+        words, bounds = word_hashes(data, offsets, breaks=_BREAKS)
+        said = np.diff(bounds)
+        key = np.unique(np.repeat(np.arange(count), said) * SLOTS + (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+        self.content, self.row = key & (SLOTS - 1), key >> SLOT_BITS
+        size = np.diff(offsets)
+        counts = np.bincount(np.repeat(np.arange(0, 6 * count, 6), size) + _KINDS[data], minlength=6 * count).reshape(-1, 6)
+        digits, capitals, signs, lines, spaces = counts.T[1:]
+        n = np.maximum(size, 1)
+        kinds = np.bincount(self.row, minlength=count) / np.maximum(said, 1)
+        values = {
+            "size": 2 * np.log2(n), "digits": 40 * digits / n, "capitals": 25 * capitals / n, "signs": 60 * signs / n, "lines": np.log2(1 + lines), "per line": np.log2(1 + n / (1 + lines)),
+            "word": n / (1 + spaces + lines), "variety": 20 * kinds, "variety by size": 20 * kinds + 32 * (np.log2(1 + said) / 2).astype(np.int64),
+        }
+        known = [np.array([_slot(c, v) for v in batch.column(c).to_pylist()], np.int64) for c in ("lang", "source")]
+        self.page = np.stack([*known, *(_TABLES[k][np.minimum(v.astype(np.int64), _PAGE[k])] for k, v in values.items())], axis=1)
+        self.blank = np.diff(np.concatenate([[0], np.cumsum(_SOLID[data])])[offsets]) == 0
+
+    def __len__(self) -> int:
+        return len(self.page)
+
+    def sets(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return np.split(self.content, np.searchsorted(self.row, np.arange(1, len(self)))), list(self.page)
+
+    def margins(self, models: list[Linear]) -> list[np.ndarray]:
+        text, page = models
+        return [text.margins(self.content, self.row, len(self)), page.weights[self.page].sum(axis=1) + page.bias]
 
 
 class Linear:
@@ -172,9 +170,8 @@ class CoTrained:
                 break
         return w
 
-    def scores(self, text_sets: list[np.ndarray], page_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text = self.text.margins(*_flat(text_sets), len(text_sets))
-        page = self.page.margins(*_flat(page_sets), len(page_sets))
+    def scores(self, text: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The combined chance, and each view's, from the views' margins."""
         return _chance(self._columns(text, page) @ self.mix), _chance(text), _chance(page)
 
     def slim(self) -> CoTrained:
@@ -182,15 +179,9 @@ class CoTrained:
         return self
 
 
-def _views(batch: pa.RecordBatch, slots: _Slots):
-    texts = [x or "" for x in batch.column("text").to_pylist()]
-    data, offsets = joined_bytes(batch.column("text"))
-    return texts, content(texts, slots), metadata(texts, data, offsets, batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-
-
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches, "text", STEP_BYTES):
-        _, text, page = _views(batch, _SLOTS_KEPT)
+        text, page = Views(batch).sets()
         yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(text, pa.list_(pa.int32())), pa.array(page, pa.list_(pa.int32()))], names=["mark", "content", "page"])
 
 
@@ -198,9 +189,8 @@ def _scorer(model: CoTrained):
     """A batch's combined scores, then each view's."""
 
     def score(batch: pa.RecordBatch) -> list[np.ndarray]:
-        texts, text, page = _views(batch, _SLOTS_KEPT)
-        blank = np.array([not t or t.isspace() for t in texts])
-        return [np.where(blank, 0.0, x) for x in model.scores(text, page)]
+        views = Views(batch)
+        return [np.where(views.blank, 0.0, x) for x in model.scores(*views.margins([model.text, model.page]))]
 
     return score
 
@@ -225,12 +215,10 @@ class _Surest:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {(view, label): (np.zeros(0), np.zeros(0, np.int64)) for view in (0, 1) for label in self.quota}
         for batch in text_chunks(batches, "text", STEP_BYTES):
-            texts, *views = _views(batch, _SLOTS_KEPT)
+            views = Views(batch)
             marks = batch.column("mark").to_numpy()
-            some = np.array([bool(t) and not t.isspace() for t in texts])
-            for view, (model, sets) in enumerate(zip(self.models, views)):
-                margin = model.margins(*_flat(sets), len(sets))
-                fresh = some & ~np.isin(marks, self.told[view])
+            for view, margin in enumerate(views.margins(self.models)):
+                fresh = ~views.blank & ~np.isin(marks, self.told[view])
                 for label, n in self.quota.items():
                     sure = margin if label else -margin
                     ok = fresh & (_chance(sure) >= CONFIDENT)
@@ -288,6 +276,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrain
     return CoTrained([sets[k][0] for k in order], [sets[k][1] for k in order], np.array([target[k] for k in order]), _asker(rows, set(order))).slim()
 
 
+def _said() -> Column:
+    return F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, p_content, p_page, kept) of each row of ``docs`` (doc_id, text, lang, source).
 
@@ -299,7 +291,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     rows = docs.select("doc_id", "text", "lang", "source")
     if model is None:
-        score = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 0.0).otherwise(1.0)
+        score = F.when(_said(), 1.0).otherwise(0.0)
         found = rows.select("doc_id", score.alias("score"), score.alias("p_content"), score.alias("p_page"))
     else:
         found = rows.mapInArrow(_score(model), "doc_id long, score double, p_content double, p_page double")
@@ -320,5 +312,5 @@ def keep_fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, with their columns."""
     model = fit(docs, labels)
     if model is None:
-        return docs.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+        return docs.where(_said())
     return docs.mapInArrow(_keep(model), docs.schema)

@@ -11,13 +11,14 @@ WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased if ``fold``) of the texts
-    that ``offsets`` cut ``data`` into, and the n+1 word offsets of the texts."""
+    that ``offsets`` cut ``data`` into, and the n+1 word offsets of the texts. ``breaks``: which bytes
+    part words instead."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13))) if breaks is None else ~breaks[data]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     first = solid.copy()

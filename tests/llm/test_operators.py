@@ -558,7 +558,8 @@ def test_co_training_uses_unlabelled_rows():
         asked.append(offers)
         return offers
 
-    both, _, _ = cotrain.CoTrained(text[:60], page[:60], label[:60], ask).scores(text, page)
+    model = cotrain.CoTrained(text[:60], page[:60], label[:60], ask)
+    both, _, _ = model.scores(*(m.margins(*cotrain._flat(sets), 600) for m, sets in ((model.text, text), (model.page, page))))
     assert ((both > 0.5) == (label == 1)).mean() > 0.98
     assert len(asked) == cotrain.ROUNDS and all(label[60 + k] == value for offers in asked for _, value, k, _ in offers)
 
@@ -578,7 +579,7 @@ def test_surest_documents_are_the_best_of_all(spark, small):
     offers = cotrain._asker(rows, known)(models, {1.0: 7, 0.0: 9}, [set(), set()])
     found = {(view, label): [k for v, x, k, _ in offers if (v, x) == (view, label)] for view in (0, 1) for label in (0.0, 1.0)}
     batch = rows.toArrow().combine_chunks().to_batches()[0]
-    _, *views = cotrain._views(batch, cotrain._Slots())
+    views = cotrain.Views(batch).sets()
     marks = batch.column("mark").to_numpy()
     for (view, label), keys in found.items():
         margin = models[view].margins(*cotrain._flat(views[view]), len(marks)) * (1 if label else -1)
