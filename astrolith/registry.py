@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from astrolith.plans import availability, events, fights, functions, graphs, knowledge, merges, places, trading  # noqa: F401
+    from astrolith.plans import availability, events, fights, functions, graphs, knowledge, merges, places, trading, workshop  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
