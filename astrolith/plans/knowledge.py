@@ -124,11 +124,15 @@ lg AS (SELECT *, coalesce(sqrt((x-lag(x) OVER w)*(x-lag(x) OVER w)+(y-lag(y) OVE
 nx AS (SELECT *, coalesce(lead(leg_ly) OVER (PARTITION BY route ORDER BY hop),0) AS next_ly, class IN ('O','B','A','F','G','K','M') AS scoopable, class IN ('WhiteDwarf','Neutron','BlackHole') AS hazard FROM lg)"""
 
 
-def _brief(spark, d):
+def _hops(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") % 50).alias("route"), "o_orderkey", F.col("o_custkey").alias("address"))
     hops = orders.withColumn("hop", F.row_number().over(Window.partitionBy("route").orderBy("o_orderkey")) - 1).drop("o_orderkey")
     points = g.systems(spark, d).select("address", "x", "y", "z").join(g.stars(spark, d).select("address", "class"), "address", "left").withColumn("class", F.coalesce("class", F.lit("Unknown")))
-    return places.briefing(hops.join(points, "address"), g.systems(spark, d), g.stations(spark, d), "power 2", 120.0)
+    return hops.join(points, "address")
+
+
+def _brief(spark, d):
+    return places.briefing(_hops(spark, d), g.systems(spark, d), g.stations(spark, d), "power 2", 120.0)
 
 
 @query(GALAXY_SQL + HOPS_SQL + """, dk AS (SELECT system_address, id, station FROM stations WHERE NOT is_carrier AND station IS NOT NULL AND greatest(coalesce(pad_large,0),coalesce(pad_medium,0),coalesce(pad_small,0))>0 AND NOT coalesce(contains(lower(station_type),'settlement'),false) QUALIFY row_number() OVER (PARTITION BY system_address ORDER BY coalesce(pad_large,0) DESC, coalesce(pad_medium,0) DESC, arrival_ls ASC NULLS FIRST, id)=1)

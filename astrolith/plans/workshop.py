@@ -64,7 +64,7 @@ def unlocks_proved(spark, d):
 def stock(spark, d):
     """Materials of each commander: ten groups of five grades of two kinds, filled by the journal."""
     held = g.events(spark, d).groupBy("commander", (F.col("k") % 30).alias("slot")).agg((F.sum("k") * 7 % 301).alias("count"))
-    every = g.events(spark, d).select("commander").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(29))).cast("long"))
+    every = g.events(spark, d).select("commander").distinct().withColumn("slot", F.explode(F.expr("sequence(0L, 29L)")))
     s = F.col("slot")
     grade = (s % 5 + 1).cast("int")
     from astrolith.functions import maths

@@ -380,3 +380,111 @@ def test_limits_against_a_loop(spark):
         want[k] = passed
     got = {r.id: r.passed for r in combat.rate_limited(spark.createDataFrame(rows, "source long, ts timestamp, id long"), 100, 20, 10, 4).collect()}
     assert got == want and 0 < sum(want.values()) < 600
+
+
+def test_fuel_routes_against_all_states():
+    """Every state of small clouds relaxed to a standstill, without bounds or dominance."""
+    import pandas as pd
+
+    engine = graph.Engine(mass=100.0, optimal_mass=900.0, per_jump=2.0, capacity=6.0)
+    step = engine.capacity / graph.FUEL_STEPS
+    solved = 0
+    for seed in range(12):
+        rng = random.Random(seed)
+        rows = [(k, *(rng.uniform(0, 170) for _ in range(3)), rng.choice((1.0, 1.0, 1.5, 4.0)), rng.random() < 0.4) for k in range(14)]
+        for allowed in (0, 2):
+            best = {(0, graph.FUEL_STEPS, 0): 0.0}
+            moved = True
+            while moved:
+                moved = False
+                for (at, fuel, used), took in list(best.items()):
+                    for full, since in [(fuel, took)] + [(graph.FUEL_STEPS, took + engine.stop + (graph.FUEL_STEPS - fuel) * step / engine.rate)] * rows[at][5]:
+                        reach = engine.range(full * step)
+                        for k, *p, _, _ in rows:
+                            ly = math.dist(p, rows[at][1:4])
+                            way = (1.0, engine.plain, 0) if ly <= reach else (rows[at][4], engine.boosted, 0) if ly <= reach * rows[at][4] else (2.0, engine.plain + engine.injection, 1) if ly <= 2 * reach and used < allowed else None
+                            if k == at or way is None:
+                                continue
+                            left = math.floor((full * step - engine.burn(ly, full * step, way[0])) / step + 1e-9)
+                            state = (k, left, used + way[2])
+                            if left >= 0 and since + way[1] < best.get(state, math.inf) - 1e-9:
+                                best[state] = since + way[1]
+                                moved = True
+            frame = pd.DataFrame(rows, columns=["address", "x", "y", "z", "boost", "scoop"])
+            for goal in (5, 13):
+                plain = min((t for (k, _, used), t in best.items() if k == goal and used == 0), default=None)
+                want = plain if plain is not None else min((t for (k, _, _), t in best.items() if k == goal), default=None)
+                got = graph.solve_fuel(frame, 0, goal, engine, injections=allowed)
+                assert (got is None) == (want is None)
+                if got:
+                    solved += 1
+                    assert math.isclose(got[1], want, abs_tol=1e-6) and got[0][0] == 0 and got[0][-1] == goal
+    assert solved > 10
+
+
+def _plain_trades(stock, policy):
+    cap = {1: 300, 2: 250, 3: 200, 4: 150, 5: 100}
+
+    def ratio(a, b):
+        n = a["grade"] - b["grade"]
+        if a["group"] == b["group"]:
+            return None if n == 0 else (1, 3**n) if n > 0 else (6**-n, 1)
+        return (6, 1) if n == 0 else (2, 3 ** (n - 1)) if n > 0 else (6 ** (1 - n), 1)
+
+    have = {r["material"]: r["count"] for r in stock}
+    items = sorted(stock, key=lambda r: (r["group"], r["grade"], r["material"]))
+    sources = sorted((r for r in items if r["grade"] >= policy.least_grade and r["count"] >= math.ceil(cap[r["grade"]] * policy.source)), key=lambda r: (-r["grade"], r["group"], r["material"]))
+    full = {r["material"] for r in sources}
+    out = []
+
+    def trade(s, d, stop, until, way):
+        if s["material"] == d["material"] or s["kind"] != d["kind"] or (way != "room" and d["material"] in full) or not ratio(s, d):
+            return
+        pay, get = ratio(s, d)
+        n = min((have[s["material"]] - stop) // pay, (until - have[d["material"]]) // get)
+        if n > 0:
+            have[s["material"]] -= n * pay
+            have[d["material"]] += n * get
+            out.append((s["material"], n * pay, d["material"], n * get, way))
+
+    low = lambda g: range(1, g) if policy.bottom else range(g - 1, 0, -1)
+    keep = lambda s: math.floor(cap[s["grade"]] * policy.floor)
+    for s in sources:
+        for g in low(s["grade"]):
+            for d in items:
+                if d["group"] == s["group"] and d["grade"] == g:
+                    trade(s, d, keep(s), cap[g], "down")
+    for s in sources if policy.across else ():
+        for g in (s["grade"], *low(s["grade"])):
+            for d in items:
+                if d["group"] != s["group"] and d["grade"] == g:
+                    trade(s, d, keep(s), cap[g], "across")
+    for s in sources if policy.up else ():
+        for g in range(s["grade"] + 1, 6):
+            for d in items:
+                if d["group"] == s["group"] and d["grade"] == g:
+                    trade(s, d, keep(s), cap[g], "up")
+    if policy.room is not None:
+        top = lambda r: math.floor(cap[r["grade"]] * policy.room)
+        for s in sources:
+            if s["grade"] >= 4:
+                others = [d for d in items if d["grade"] >= 4]
+                for d in [d for d in others if d["group"] == s["group"]] + [d for d in others if d["group"] != s["group"] and d["grade"] == s["grade"]] + [d for d in others if d["group"] != s["group"] and d["grade"] + 1 == s["grade"]]:
+                    trade(s, d, max(top(s), keep(s)), top(d), "room")
+    return out
+
+
+@pytest.mark.parametrize("policy", [{}, {"source": 0.6, "floor": 0.3, "up": True, "room": 0.5}, {"source": 0.5, "bottom": False, "across": False, "least_grade": 2, "room": 0.4}])
+def test_trades_against_loops(spark, medium, policy):
+    from astrolith.operators import engineering
+    from astrolith.plans import workshop
+
+    policy = engineering.Policy(**policy)
+    stock = workshop.stock(spark, medium).where("commander < 40")
+    got, by = {}, {}
+    for r in engineering.trades(stock, policy).orderBy("commander", "step").collect():
+        got.setdefault(r.commander, []).append((r.give, r.give_qty, r.receive, r.receive_qty, r.way))
+    for r in stock.collect():
+        by.setdefault(r.commander, []).append(r.asDict())
+    want = {c: t for c, rows in by.items() if (t := _plain_trades(rows, policy))}
+    assert got == want and {w for t in want.values() for *_, w in t} >= {"down"}
