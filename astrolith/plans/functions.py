@@ -84,3 +84,52 @@ def functions_route_score(spark, d):
 def functions_lists(spark, d):
     text = F.concat(F.lit(" "), "o_orderpriority", F.lit(", ,"), "o_orderstatus", F.lit(" ,"))
     return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.array_join(strings.split_list(text), "|").alias("parts"))
+
+
+@query("SELECT p_partkey AS id, p_partkey%3=0 AS callsign, array_to_string(list_sort(list_distinct([lower(p_type), 'gold', 'silver', lower(p_type)])),',') AS symbols, CASE WHEN p_partkey%2=0 THEN p_name ELSE p_type END AS shown, CASE p_partkey%4 WHEN 0 THEN 'Metallic' WHEN 1 THEN 'Rocky' WHEN 2 THEN 'Icy' END AS ring, CASE p_partkey%5 WHEN 0 THEN 'raw' WHEN 1 THEN 'raw' WHEN 2 THEN 'manufactured' WHEN 3 THEN 'encoded' END AS trader FROM part")
+def functions_names(spark, d):
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.format_string("A%02d-X%02d", k % 100, k % 77)).otherwise(F.format_string("Port %d", k))
+    symbols = strings.symbol_set(F.array(F.upper("p_type"), F.lit("Gold"), F.lit("silver"), F.col("p_type")))
+    material = F.when(k % 4 == 0, "gold").when(k % 4 == 1, "cobalt").when(k % 4 == 2, "water").otherwise("tritium")
+    economy = F.when(k % 5 == 0, "Extraction").when(k % 5 == 1, "REFINERY").when(k % 5 == 2, "industrial").when(k % 5 == 3, "High Tech").otherwise("Tourism")
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    return rows.select(k.alias("id"), strings.is_callsign(name).alias("callsign"), F.array_join(symbols, ",").alias("symbols"), strings.localised(F.when(k % 2 == 0, F.col("p_name")), F.col("p_type")).alias("shown"), classes.ring_hint(material).alias("ring"), classes.trader_kind(economy).alias("trader"))
+
+
+LADDER = ["Harmless", "Mostly Harmless", "Novice", "Competent", "Expert", "Master", "Dangerous", "Deadly", "Elite"]
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey%16<9 THEN (['" + "','".join(LADDER) + "'])[p_partkey%16+1] WHEN p_partkey%16<14 THEN 'Elite '||(['I','II','III','IV','V'])[p_partkey%16-8] ELSE 'rank '||(p_partkey%16) END AS rank, p_partkey+CAST(p_size AS BIGINT)*36028797018963968 AS body FROM part")
+def functions_ranks(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    return rows.select(F.col("p_partkey").alias("id"), classes.rank_name(F.col("p_partkey") % 16, LADDER).alias("rank"), maths.body_id64(F.col("p_partkey"), F.col("p_size")).alias("body"))
+
+
+@query(GALAXY_SQL + ' SELECT "offset", CAST(floor(epoch(ts))-floor(epoch(TIMESTAMP \'2024-01-03 04:05:06\')) AS BIGINT) AS seconds FROM ev')
+def functions_seconds(spark, d):
+    return g.events(spark, d).select("offset", times.seconds_between(F.lit("2024-01-03 04:05:06").cast("timestamp"), F.col("ts")).alias("seconds"))
+
+
+@query(GALAXY_SQL + " SELECT CASE WHEN event IN ('view','click') THEN 'journal' ELSE 'commodity' END AS kind, CASE WHEN event IN ('view','click') THEN event END AS event, count(*) AS n FROM ev GROUP BY 1,2")
+def feed_statistics(spark, d):
+    from astrolith.streaming import feed
+
+    kind = F.when(F.col("event").isin("view", "click"), "journal").otherwise("commodity")
+    return feed.statistics(g.events(spark, d).select(kind.alias("kind"), F.to_json(F.struct("event")).alias("message")))
+
+
+@query(GALAXY_SQL + " SELECT max(ts) AS last, max(ts)>=TIMESTAMP '2024-01-30 23:58:00'-INTERVAL 5 MINUTE AS alive FROM ev")
+def feed_alive(spark, d):
+    from astrolith.streaming import feed
+
+    return feed.liveness(g.events(spark, d).select(F.col("ts").alias("gateway")), F.lit("2024-01-30 23:58:00").cast("timestamp"))
+
+
+@query("SELECT c_custkey AS address, '{\"address\":'||c_custkey||',\"name\":\"'||c_name||'\",\"provenance\":\"boards\",\"as_of\":\"2001-12-01T00:00:00Z\"}' AS document FROM customer")
+def results_documented(spark, d):
+    from astrolith.streaming import feed
+
+    rows = g.systems(spark, d).select("address", "name")
+    documents = feed.result_documents(rows, "boards", F.lit(g.NOW).cast("timestamp"))
+    return documents.select(F.get_json_object("document", "$.address").cast("long").alias("address"), "document")

@@ -115,12 +115,12 @@ def _places(spark, d):
 
 
 def _legs(spark, d):
-    return trade.best_legs(_places(spark, d), g.market(spark, d), SHIP, 60.0)
+    return trade.best_legs(_places(spark, d), g.market(spark, d), SHIP, 100.0)
 
 
 LEGS_SQL = """, pl AS (SELECT st.id, sy.x, sy.y, sy.z, st.arrival_ls FROM stations st JOIN systems sy ON sy.address=st.system_address), pr AS (SELECT b.symbol, b.station_id AS from_id, s.station_id AS to_id, s.sell_price-b.buy_price AS per_ton, least(b.supply, s.demand) AS available, f.arrival_ls AS from_ls, t.arrival_ls AS to_ls,
   sqrt((f.x-t.x)*(f.x-t.x)+(f.y-t.y)*(f.y-t.y)+(f.z-t.z)*(f.z-t.z)) AS distance_ly FROM market b JOIN market s ON s.symbol=b.symbol AND s.station_id<>b.station_id JOIN pl f ON f.id=b.station_id JOIN pl t ON t.id=s.station_id
-  WHERE b.buy_price>0 AND b.supply>0 AND s.sell_price>b.buy_price AND s.demand>0 AND (f.x-t.x)*(f.x-t.x)+(f.y-t.y)*(f.y-t.y)+(f.z-t.z)*(f.z-t.z)<=3600),
+  WHERE b.buy_price>0 AND b.supply>0 AND s.sell_price>b.buy_price AND s.demand>0 AND (f.x-t.x)*(f.x-t.x)+(f.y-t.y)*(f.y-t.y)+(f.z-t.z)*(f.z-t.z)<=10000),
 rk AS (SELECT *, row_number() OVER (PARTITION BY from_id, to_id ORDER BY per_ton DESC, symbol) AS rn FROM pr), fl AS (SELECT *, greatest(0, least(available, 200-coalesce(sum(available) OVER (PARTITION BY from_id, to_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))) AS tons FROM rk WHERE rn<=4),
 ag AS (SELECT from_id, to_id, CAST(sum(tons) AS BIGINT) AS tons, CAST(sum(tons*per_ton) AS BIGINT) AS profit, min_by(symbol, rn) AS symbol, any_value(distance_ly) AS distance_ly, any_value(from_ls) AS from_ls, any_value(to_ls) AS to_ls FROM fl WHERE tons>0 GROUP BY from_id, to_id),
 rg AS (SELECT *, 40.0*(200*25.0/15.0)/((200*25.0/15.0)+least(tons,200)) AS reach FROM ag), tm AS (SELECT *, 60+CASE WHEN distance_ly<=0 THEN 0 ELSE greatest(1, ceil(distance_ly/greatest(reach,1.0))) END*18.0+150+0.5*greatest(coalesce(to_ls,0),0)/1000.0+60+35 AS seconds,
@@ -143,9 +143,49 @@ def trade_diversified(spark, d):
     return trade.diversify(_legs(spark, d)).select("from_id", "to_id", "symbol", "profit")
 
 
-@query()
+RINGS_SQL = LEGS_SQL + """, lg AS (SELECT * FROM legs QUALIFY row_number() OVER (PARTITION BY from_id ORDER BY per_hour DESC, to_id)<=6), r AS (SELECT from_id AS s, to_id AS at_id, [from_id] AS path, profit, seconds FROM lg UNION ALL SELECT r.s, l.to_id, list_append(path, at_id), r.profit+l.profit, r.seconds+l.seconds FROM r JOIN lg l ON l.from_id=r.at_id WHERE NOT list_contains(path, at_id) AND len(path)<4),
+cl AS (SELECT *, profit/greatest(seconds/3600.0,1e-6) AS per_hour, list_sort(path) AS stations FROM r WHERE at_id=s AND len(path)>=2), bs AS (SELECT stations, arg_max(struct_pack(path:=path, profit:=profit, per_hour:=per_hour), (round(per_hour,3), profit, list_reverse(path))) AS b FROM cl GROUP BY stations), rz AS (SELECT stations, b.path AS path, b.profit AS profit, b.per_hour AS per_hour, list_position(b.path, list_min(b.path)) AS p FROM bs)"""
+
+
+def _rings(spark, d):
+    return trade.rings(_legs(spark, d), 4, beam=20_000)
+
+
+@query("WITH RECURSIVE " + GALAXY_SQL[5:] + RINGS_SQL + " SELECT array_to_string(list_concat(path[p:], path[:p-1]),',') AS path, CAST(profit AS BIGINT) AS profit, round(per_hour,3) AS per_hour FROM rz")
 def trade_rings(spark, d):
-    return _rounded(trade.rings(_legs(spark, d), 4), "per_hour", digits=3).select("path", "profit", "per_hour")
+    return _rings(spark, d).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "profit", F.round("per_hour", 3).alias("per_hour"))
+
+
+@query("WITH RECURSIVE " + GALAXY_SQL[5:] + RINGS_SQL + ", ne AS (SELECT stations, arg_min(id, ((x-30)*(x-30)+(y-10)*(y-10)+(z+20)*(z+20), id)) AS first FROM (SELECT stations, unnest(stations) AS sid FROM rz) JOIN pl ON pl.id=sid GROUP BY stations) SELECT array_to_string(list_concat(path[list_position(path,first):], path[:list_position(path,first)-1]),',') AS path, first FROM rz JOIN ne USING (stations)")
+def trade_rings_turned(spark, d):
+    """Rings begin at the station nearest to where the commander is."""
+    rows = trade.rotated(_rings(spark, d), _places(spark, d), (30.0, 10.0, -20.0))
+    return rows.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), F.element_at("path", 1).alias("first"))
+
+
+#: The source of the reports: the station with the most legs, the smaller on ties.
+SOURCE_SQL = ", src AS (SELECT from_id AS id FROM legs GROUP BY from_id ORDER BY count(*) DESC, from_id LIMIT 1)"
+
+
+def _report(spark, d):
+    source = _legs(spark, d).groupBy("from_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_id").first().from_id
+    return trade.report(_places(spark, d), g.market(spark, d), SHIP, 100.0, (0.0, 0.0, 0.0), source)
+
+
+@query(GALAXY_SQL + LEGS_SQL + SOURCE_SQL + " SELECT from_id, to_id, symbol, profit, round(per_hour_repeat,3) AS per_hour_repeat FROM (SELECT *, row_number() OVER (PARTITION BY from_id, symbol ORDER BY per_hour_repeat DESC, to_id) AS rn FROM legs WHERE from_id=(SELECT id FROM src)) WHERE rn<=3 ORDER BY legs.per_hour_repeat DESC, to_id LIMIT 50".replace("ORDER BY legs.per_hour_repeat DESC, to_id", "ORDER BY 5 DESC, to_id"))
+def trade_report_legs(spark, d):
+    return _report(spark, d).legs.select("from_id", "to_id", "symbol", "profit", F.round("per_hour_repeat", 3).alias("per_hour_repeat"))
+
+
+@query(GALAXY_SQL + LEGS_SQL + SOURCE_SQL + " SELECT a.from_id, a.to_id, a.profit+b.profit AS profit FROM legs a JOIN legs b ON a.from_id=b.to_id AND a.to_id=b.from_id WHERE a.from_id<a.to_id AND (SELECT id FROM src) IN (a.from_id, a.to_id)")
+def trade_report_trips(spark, d):
+    """Out of all legs, not only those that the report shows, and then those that touch the source."""
+    return _report(spark, d).round_trips.select("from_id", "to_id", "profit")
+
+
+@query(GALAXY_SQL + LEGS_SQL + " SELECT from_id, to_id, round(per_hour,3) AS per_hour FROM legs ORDER BY legs.per_hour DESC, from_id, to_id LIMIT 25".replace("legs.per_hour DESC", "3 DESC"))
+def trade_top_pairs(spark, d):
+    return trade.top_pairs(_rounded(_legs(spark, d), "per_hour", digits=3), "per_hour", 25).select("from_id", "to_id", "per_hour")
 
 
 @query(GALAXY_SQL + """ SELECT symbol, station_id, supply, CAST(greatest(0, least(supply, 300-coalesce(sum(supply) OVER (PARTITION BY symbol ORDER BY buy_price, station_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))) AS BIGINT) AS tons FROM market""")

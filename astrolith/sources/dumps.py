@@ -71,3 +71,21 @@ def hotspots_of(bodies: DataFrame) -> DataFrame:
 def main_stars_of(dump: DataFrame) -> DataFrame:
     rows = dump.select(F.col("id64").alias("address"), F.explode("bodies").alias("b")).where("b.type = 'Star' and b.mainStar")
     return rows.select("address", classes.star_from_subtype(F.col("b.subType")).alias("cls"), F.lit("dump").alias("source"), times.parse_ts(F.col("b.updateTime")).alias("observed_at"))
+
+
+NIGHTLY = "systemId64 bigint, type string, subType string, isMainStar boolean, updateTime string"
+
+
+def nightly_stars(spark: SparkSession, path: str) -> DataFrame:
+    """(address, cls, source, observed_at) of the main stars in a nightly file of bodies, one on a line."""
+    rows = read_lines(spark, path, NIGHTLY).where("systemId64 > 0 and type = 'Star' and isMainStar")
+    return rows.select(F.col("systemId64").alias("address"), classes.star_from_subtype(F.col("subType")).alias("cls"), F.lit("nightly").alias("source"), times.parse_ts(F.col("updateTime")).alias("observed_at"))
+
+
+ROUTE = "result struct<system_jumps: array<struct<system: string, id64: bigint, x: double, y: double, z: double, neutron_star: boolean, jumps: int>>>"
+
+
+def imported_hops(spark: SparkSession, path: str) -> DataFrame:
+    """(hop, address, name, x, y, z, class, jumps) of a finished route that another planner made."""
+    rows = spark.read.schema(ROUTE).json(path, multiLine=True).select(F.posexplode("result.system_jumps").alias("hop", "h"))
+    return rows.select("hop", F.col("h.id64").alias("address"), F.col("h.system").alias("name"), "h.x", "h.y", "h.z", F.when(F.col("h.neutron_star"), "Neutron").alias("class"), F.coalesce("h.jumps", F.lit(1)).alias("jumps"))

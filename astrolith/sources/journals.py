@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,12 +22,27 @@ def file_order(path: Column) -> Column:
 
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, raw): complete lines with their byte offsets; a last line without its newline
-    waits. A file is read as one row, as offsets need all before."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "raw"), F.size(F.split("value", "\n")).alias("count")).where("n < count - 1")
-    sized = lines.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "raw", (F.octet_length("raw") + 1).alias("size")))).alias("rows"))
-    start = F.expr("transform(rows, (r, i) -> struct(aggregate(slice(rows, 1, i), 0L, (a, x) -> a + x.size) as offset, r.raw as raw))")
-    return sized.select("file", F.explode(start).alias("r")).select("file", "r.offset", F.rtrim(F.regexp_replace("r.raw", "\r$", "")).alias("raw")).where("raw <> ''")
+    waits. Offsets are a running sum over each file's lines."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines"))
+    lines = whole.select("file", F.posexplode(F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("n", "raw"))
+    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sized = lines.withColumn("offset", F.coalesce(F.sum(F.octet_length("raw").cast("long") + 1).over(before), F.lit(0).cast("long")))
+    return sized.select("file", "offset", F.rtrim(F.regexp_replace("raw", "\r$", "")).alias("raw")).where("raw <> ''")
+
+
+def tail(lines: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (file, offset, raw) from each file's checkpoint (file, next) on, and the checkpoints after them. A file that
+    is shorter than its checkpoint was written anew and is read from its start."""
+    ends = lines.groupBy("file").agg(F.max(F.col("offset") + F.octet_length("raw")).alias("__end"))
+    known = ends.join(checkpoints, "file", "left").withColumn("__from", F.when(F.col("next") <= F.col("__end") + 2, F.col("next")).otherwise(0)).select("file", "__from", "__end")
+    fresh = lines.join(known, "file").where(F.col("offset") >= F.coalesce("__from", F.lit(0))).select(lines.columns)
+    after = checkpoints.join(ends.select("file"), "file", "left_anti").select("file", "next").unionByName(ends.select("file", (F.col("__end") + 1).alias("next")))
+    return fresh, after
+
+
+def latest_documents(documents: DataFrame) -> DataFrame:
+    """The newest document (name, ts, raw) of each name."""
+    return documents.groupBy("name").agg(F.max(F.struct("ts", "raw")).alias("d")).select("name", "d.ts", "d.raw")
 
 
 def journal_events(lines: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def extract_index(spark: SparkSession, source: str, target: str, predicate: str)
     write_index(read_index(spark, source).where(predicate), target)
 
 
-def _files(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
@@ -43,7 +43,7 @@ def publish(spark: SparkSession, root: str, product: str, version: int, rows: Da
     the old or the new version as a whole. Any Hadoop file system will do."""
     target = f"{root}/{product}/version={version}"
     rows.write.mode("overwrite").parquet(target)
-    fs, path = _files(spark, root)
+    fs, path = file_system(spark, root)
     manifest, fresh = path(f"{root}/{product}/manifest.json"), path(f"{root}/{product}/manifest.json.new")
     out = fs.create(fresh, True)
     out.write(bytearray(json.dumps({"product": product, "version": version}).encode()))

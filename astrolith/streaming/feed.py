@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,24 +47,20 @@ def gate_stream(rows: DataFrame) -> DataFrame:
     that are not newer; a global watermark would drop late keys and keep stale rows."""
 
     def newer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values("seq")
-        keep = []
-        for r in rows.itertuples():
-            now = int(r.at.value // 1000)
-            if mark is None or now > mark:
-                mark = now
-                keep.append((key[0], r.at, r.seq))
-        if mark is not None:
-            state.update((mark,))
-        yield pd.DataFrame(keep, columns=["key", "at", "seq"])
+        at = rows["at"].astype("datetime64[us]").astype("int64").to_numpy()
+        marks = np.maximum.accumulate(np.concatenate([[state.get[0] if state.exists else np.iinfo(np.int64).min], at]))
+        if len(at):
+            state.update((int(marks[-1]),))
+        yield rows.loc[at > marks[:-1], ["key", "at", "seq"]]
 
     return rows.groupBy("key").applyInPandasWithState(newer, "key long, at timestamp, seq long", "mark long", "append", GroupStateTimeout.NoTimeout)
 
 
-def batched_sink(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, attempts: int = 5, pause: float = 0.25, once: bool = False):
+def batched_sink(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, attempts: int = 5, pause: float = 0.25, once: bool = False, dead: str | None = None):
     """Micro-batches of 250 ms to ``apply``; a batch that fails is tried again with growing
-    pauses and dropped after the last attempt. ``apply`` must be idempotent by batch id."""
+    pauses. After the last attempt it goes to the ``dead`` folder, to be looked into, or without one it is
+    dropped. ``apply`` must be idempotent by batch id."""
 
     def run(rows: DataFrame, batch: int) -> None:
         for k in range(attempts):
@@ -72,11 +69,28 @@ def batched_sink(stream: DataFrame, apply: Callable[[DataFrame, int], None], che
             except Exception as problem:  # noqa: BLE001
                 print(f"batch {batch}, attempt {k + 1}: {problem}")
                 time.sleep(pause * 2**k)
+        if dead:
+            rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(dead)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="250 milliseconds")).start()
 
 
+class Recorder:
+    """A sink that only keeps what it was given: (batch, rows), for tests and replays."""
+
+    def __init__(self):
+        self.batches: list[tuple[int, list]] = []
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        self.batches.append((batch, rows.collect()))
+
+
+def result_documents(rows: DataFrame, provenance: str, as_of: Column) -> DataFrame:
+    """Each row as a JSON document that says where it comes from and when it was true."""
+    return rows.select(F.to_json(F.struct(*rows.columns, F.lit(provenance).alias("provenance"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("as_of")), {"ignoreNullFields": "false"}).alias("document"))
+
+
 def heat(events: DataFrame, now: Column, edge: float = 100.0, weights: dict[str, float] = WEIGHTS, most: int = MOST_CELLS) -> DataFrame:
     """Decayed activity of each cell (kind, ts, x, y, z): slow and fast sums, how fast it rises, and the weighted height."""
     weight = F.create_map(*(F.lit(v) for kv in weights.items() for v in kv))[F.col("kind")]
