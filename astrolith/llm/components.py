@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.common import materialise
+from astrolith.llm.common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now = materialise(edges.where("u <> v").select("u", "v").distinct(), "edges")
     seen = None
     for _ in range(most):
-        now = materialise(_star(_star(now, True), False), "edges")
+        before, now = now, materialise(_star(_star(now, True), False), "edges")
+        discard(before)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.common import KEY, PASSAGES, SPANS, joined_bytes, materialise, mix, row_key, text_chunks, words_at
+from astrolith.llm.common import KEY, PASSAGES, SPANS, discard, joined_bytes, materialise, mix, row_key, text_chunks, words_at
 from astrolith.llm.shingles import word_hashes
 from astrolith.llm.suffixes import repeated_starts
 
@@ -33,21 +33,29 @@ PASSAGE = 51
 #: Bytes of a word in the sequences by which passages of words are found.
 WORD = 8
 STEP_BYTES = 2 << 20
-#: Longer texts are cut into segments that overlap by DEPTH - 1 bytes; each start lies in one.
+#: Longer texts are cut into segments that overlap by all but a unit of a string; each start lies in one.
 SEGMENT = 4 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _ANCHOR = "uid long, h long, ck long, pos long, a int, b int"
 
 
-def anchors(data: np.ndarray, segments: list[tuple[int, int]], depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, segments: list[tuple[int, int]], depth: int = DEPTH, gram: int = GRAM, unit: int = 1) -> tuple[np.ndarray, ...]:
     """Runs (first, last, anchor, hash) of starts in the (begin, end) segments of ``data``
-    whose ``depth``-byte strings pick the same anchor."""
-    n = len(data)
+    whose ``depth``-byte strings pick the same anchor. With a ``unit`` of WORD bytes all of it
+    lies on whole words, and only they are starts."""
     none = np.zeros(0, np.int64)
-    if n < depth:
+    if unit > 1:
+        words = np.ascontiguousarray(data).view("<u8").astype(np.uint64)
+        found = _anchors(mix(words), 1, [(s // unit, e // unit) for s, e in segments], depth // unit, gram // unit, len(words)) if len(words) >= depth // unit else (none, none, none, none.view(np.uint64))
+        return (*(f * unit for f in found[:3]), found[3])
+    if len(data) < depth:
         return none, none, none, none.view(np.uint64)
-    x = mix(words_at(np.concatenate([data, np.zeros(7, np.uint8)])))
-    size = 8
+    return _anchors(mix(words_at(np.concatenate([data, np.zeros(7, np.uint8)]))), 8, segments, depth, gram, len(data))
+
+
+def _anchors(x: np.ndarray, size: int, segments: list[tuple[int, int]], depth: int, gram: int, n: int) -> tuple[np.ndarray, ...]:
+    """The same from hashes ``x`` of ``size`` units at every place, all lengths in units."""
+    none = np.zeros(0, np.int64)
     while size < gram:
         x = mix(x[:-size] * np.uint64(0x9E3779B97F4A7C15) + x[size:])
         size *= 2
@@ -76,24 +84,24 @@ def anchors(data: np.ndarray, segments: list[tuple[int, int]], depth: int = DEPT
     return first, last, anchor, x[anchor]
 
 
-def _segments(offsets: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[int, int, int]]:
+def _segments(offsets: np.ndarray, depth: int = DEPTH, unit: int = 1) -> Iterator[tuple[int, int, int]]:
     """(row, begin, end): texts, long ones in overlapping segments."""
     for row, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         for b in range(s, max(e, s + 1), SEGMENT):
-            yield row, b, min(e, b + SEGMENT + depth - 1)
+            yield row, b, min(e, b + SEGMENT + depth - unit)
 
 
-def _scan(depth: int):
+def _scan(depth: int, unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", STEP_BYTES):
             data, offsets = joined_bytes(batch.column("text"))
             uids = batch.column("uid").to_numpy()
-            whole = list(_segments(offsets, depth))
+            whole = list(_segments(offsets, depth, unit))
             parts = [whole] if len(data) <= 2 * SEGMENT else [[x] for x in whole]
             for part in parts:
                 low, high = part[0][1], part[-1][2]
                 piece = data[low:high]
-                first, last, anchor, h = anchors(piece, [(s - low, e - low) for _, s, e in part], depth)
+                first, last, anchor, h = anchors(piece, [(s - low, e - low) for _, s, e in part], depth, unit=unit)
                 view = memoryview(np.ascontiguousarray(piece))
                 reach = (anchor - first).tolist()
                 ck = np.fromiter((xxhash.xxh3_64_intdigest(view[f : g + depth], r) for f, g, r in zip(first.tolist(), last.tolist(), reach)), np.uint64, len(first))
@@ -164,13 +172,15 @@ def _sort_buckets(limit: int, depth: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, read: Callable = iter) -> DataFrame:
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, read: Callable = iter, unit: int = 1) -> DataFrame:
     """(uid, spans array<struct<s, e>>): for the rows of ``docs`` (uid, text) that have any, the byte
     ranges of ``depth``-byte strings that start elsewhere too; ranges may overlap. ``read`` may
-    turn batches of texts into others, in the worker that scans them."""
-    found = materialise(docs.select("uid", "text").mapInArrow(lambda batches: _scan(depth)(read(batches)), _ANCHOR), "anchors")
+    turn batches of texts into others, in the worker that scans them, whose strings start at
+    multiples of ``unit`` bytes."""
+    found = materialise(docs.select("uid", "text").mapInArrow(lambda batches: _scan(depth, unit)(read(batches)), _ANCHOR), "anchors")
     again = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats")
     known = materialise(found.join(again, "h"), "known")
+    discard(found, again)
     alike = known.groupBy("h", "ck").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     alike = materialise(alike, "alike")
     mixed = alike.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
@@ -181,6 +191,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, read: Callable = iter) -
     runs = contexts.repartition("h").sortWithinPartitions("h", "ck").mapInArrow(_sort_buckets(3 << 19, depth), "h long, ck long, a2 int, b2 int")
     whole = alike.where("n > 1").select("h", "ck", F.lit(None).cast("int").alias("a2"), F.lit(None).cast("int").alias("b2"))
     runs = materialise(whole.unionByName(runs.join(whole.select("h", "ck"), ["h", "ck"], "left_anti")), "runs")
+    discard(alike)
     spans = known.join(runs, ["h", "ck"]).select("uid", (F.col("pos") - F.coalesce("a2", "a")).alias("s"), (F.col("pos") - F.coalesce("b2", "b") + depth).alias("e"))
     return spans.groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
@@ -219,7 +230,7 @@ def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
     """(uid, spans) as of ``repeated_spans``, for passages of ``words`` words and more that start
     elsewhere too, however the space between their words is written. Words are told apart by 64 bits."""
     docs = docs.select("uid", "text")
-    found = repeated_spans(docs, words * WORD, _as_words)
+    found = repeated_spans(docs, words * WORD, _as_words, WORD)
     spans = docs.join(found, "uid").mapInArrow(_in_bytes(words), "uid long, spans array<struct<s: long, e: long>>")
     return spans.dropDuplicates(["uid"])
 
