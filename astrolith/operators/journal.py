@@ -166,3 +166,21 @@ def suppressed_repeats(rows: DataFrame, seconds: Column) -> DataFrame:
         return pd.DataFrame(out, columns=["commander", "kind", "text", "ts", "suppressed"])
 
     return rows.withColumn("gate", seconds).groupBy("commander", "kind", "text").applyInPandas(fold, "commander long, kind string, text string, ts timestamp, suppressed long")
+
+
+def in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Events (commander, ts) in their commander's windows (commander, start, until); one without an end is still open."""
+    both = events.join(windows, "commander")
+    return both.where((F.col("ts") >= F.col("start")) & (F.col("until").isNull() | (F.col("ts") <= F.col("until"))))
+
+
+def repeated(events: DataFrame, by: str, least: int = 2) -> DataFrame:
+    """(by, n) of what stands in the log several times."""
+    return events.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def dominant(rows: DataFrame, key: str, group: str, hit: Column) -> DataFrame:
+    """(key, group, kills, n): each key's group with the most rows, the smaller on ties, and how many of them are hits."""
+    counts = rows.groupBy(key, group).agg(F.sum(F.when(hit, 1).otherwise(0)).alias("kills"), F.count("*").alias("n"))
+    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("__n"), group, "kills")).alias("b"))
+    return best.select(key, f"b.{group}", "b.kills", (-F.col("b.__n")).alias("n"))

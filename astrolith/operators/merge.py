@@ -195,3 +195,10 @@ def pruned(events: DataFrame, kinds: tuple[str, ...], cutoff: str) -> DataFrame:
 def holdings(materials: DataFrame, cargo: DataFrame) -> DataFrame:
     """(kind, name, count) of both."""
     return materials.select(F.lit("material").alias("kind"), "name", "count").unionByName(cargo.select(F.lit("cargo").alias("kind"), "name", "count"))
+
+
+def folded_symbols(rows: DataFrame, symbol: str, item: str) -> DataFrame:
+    """(symbol, item, n): the canonical form of symbols, however wrapped, with its least item and how many fold onto it."""
+    from astrolith.functions.strings import canonical_symbol
+
+    return rows.groupBy(canonical_symbol(F.col(symbol)).alias("symbol")).agg(F.min(item).alias(item), F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from astrolith.functions import classes, maths, strings
-from astrolith.operators.spatial import grid_join, within
+from astrolith.operators.spatial import grid_join, in_sphere, within
 
 
 def with_overlay(points: DataFrame, learned: DataFrame) -> DataFrame:
@@ -141,3 +141,26 @@ def companion_ls(bucket: Column, most: float = COMPANION_LS) -> Column:
     """The distance that a bucket stands for; null for none."""
     middle = (bucket - 1 + 0.5) / (COMPANION_BUCKETS - 1)
     return F.when(bucket.between(1, COMPANION_BUCKETS), F.least(F.pow(F.lit(most), middle), F.lit(most)))
+
+
+def rings_near(systems: DataFrame, bodies: DataFrame, rings: DataFrame, origin: tuple[float, float, float], radius: float) -> DataFrame:
+    """Rings of bodies in a sphere with their kind and hotspots (0 without any), and how far their systems are."""
+    near = systems.where(in_sphere(origin, radius, "cell")).withColumn("distance_ly", maths.distance(F.col("x"), F.col("y"), F.col("z"), *origin))
+    rows = rings.join(bodies, "body_id").join(near.withColumnRenamed("name", "system"), F.col("system_address") == F.col("address"))
+    return rows.select("body_id", "body", "ring", strings.ring_kind(F.col("ring_class")).alias("kind"), F.coalesce("hotspots", F.lit(0)).alias("hotspots"), "system", "distance_ly")
+
+
+def resolve_marks(marks: DataFrame, systems: DataFrame) -> DataFrame:
+    """(mark, address): marks by their address where a system has it, those without one by name, whatever the case. Two
+    equi joins instead of one on either."""
+    by_id = marks.withColumn("__key", F.lower("name")).join(systems.select("address", F.col("address").alias("__a")), "address", "left")
+    named = by_id.join(systems.select(F.lower("name").alias("__key"), F.col("address").alias("__b")), "__key", "left")
+    return named.select("mark", F.coalesce("__a", F.when(F.col("address").isNull(), F.col("__b"))).alias("address"))
+
+
+def completed(names: DataFrame, prefixes: tuple[str, ...], limit: int) -> DataFrame:
+    """(name, kind) that begin with any of the prefixes, whatever the case, in order."""
+    hit = F.lit(False)
+    for p in prefixes:
+        hit |= F.lower("name").startswith(p.lower())
+    return names.where(hit).orderBy("name", "kind").limit(limit)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from astrolith.functions import times
@@ -125,21 +124,20 @@ def events_lock_to_kill(spark, d):
 
 @query(GALAXY_SQL + " SELECT raw, count(*) AS n FROM ev GROUP BY raw HAVING count(*)>1")
 def events_repeated(spark, d):
-    return g.events(spark, d).groupBy("raw").agg(F.count("*").alias("n")).where("n > 1")
+    return j.repeated(g.events(spark, d), "raw")
 
 
 @query(GALAXY_SQL + """ SELECT commander, CAST(k//10 AS BIGINT) AS source, sum(CASE WHEN event='purchase' THEN 1 ELSE 0 END) AS kills, count(*) AS n FROM ev GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY commander ORDER BY count(*) DESC, CAST(k//10 AS BIGINT))=1""".replace("sum(CASE WHEN event='purchase' THEN 1 ELSE 0 END)", "CAST(sum(CASE WHEN event='purchase' THEN 1 ELSE 0 END) AS BIGINT)"))
 def events_dominant_source(spark, d):
-    counts = g.events(spark, d).groupBy("commander", F.floor(F.col("k") / 10).cast("long").alias("source")).agg(F.sum(F.when(_is("purchase"), 1).otherwise(0)).alias("kills"), F.count("*").alias("n"))
-    best = Window.partitionBy("commander").orderBy(F.desc("n"), "source")
-    return counts.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank")
+    rows = g.events(spark, d).withColumn("source", F.floor(F.col("k") / 10).cast("long"))
+    return j.dominant(rows, "commander", "source", _is("purchase"))
 
 
 @query(GALAXY_SQL + """ SELECT "offset" FROM (SELECT "offset", max(CASE WHEN event='signup' THEN ts END) OVER (PARTITION BY commander) AS s, ts, commander FROM ev) WHERE ts>=s AND ts<=s+INTERVAL 3 HOUR""")
 def events_in_window(spark, d):
     ev = g.events(spark, d)
-    start = ev.where(_is("signup")).groupBy("commander").agg(F.max("ts").alias("s"))
-    return ev.join(start, "commander").where("ts >= s and ts <= s + interval 3 hours").select("offset")
+    start = ev.where(_is("signup")).groupBy("commander").agg(F.max("ts").alias("start"))
+    return j.in_windows(ev, start.withColumn("until", F.col("start") + F.expr("interval 3 hours"))).select("offset")
 
 
 @query(GALAXY_SQL + """ SELECT "offset" AS id, (ts, file, "offset") > (TIMESTAMP '2024-01-15 00:00:00', '2024-01-15', 0) AS later FROM ev WHERE (ts, file, "offset") > (TIMESTAMP '2024-01-15 00:00:00', '2024-01-15', 0) ORDER BY ts, file, "offset" LIMIT 500""")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from astrolith.functions import classes, maths
+from astrolith.sources import published
 
 #: The moment that queries count ages from.
 NOW = "2001-12-01 00:00:00"
@@ -86,12 +87,17 @@ SIGHTINGS_SQL = """sightings AS (SELECT l_suppkey AS station_id, 'c'||(l_partkey
   CAST(l_quantity AS BIGINT) AS supply, CAST(l_quantity*20 AS BIGINT) AS demand, TIMESTAMP '2001-12-01 00:00:00' - to_hours(CAST((l_orderkey*7+l_linenumber*13)%1440 AS BIGINT)) AS observed_at, l_orderkey AS "order", l_linenumber AS line FROM lineitem)"""
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+def newest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row for each station and commodity."""
     row = F.struct("observed_at", "order", "line", "buy_price", "sell_price", "supply", "demand")
     return sightings(spark, sf_dir).groupBy("station_id", "symbol").agg(F.max(row).alias("r")).select("station_id", "symbol", "r.buy_price", "r.sell_price", "r.supply", "r.demand", "r.observed_at")
 
 
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boards, as a table that is made once and kept in order of its commodities."""
+    return published.stored(spark, "market", f"{sf_dir}/lineitem.parquet", lambda: newest_rows(spark, sf_dir), ["symbol", "station_id"])
+
+
 MARKET_SQL = """market AS (SELECT station_id, symbol, buy_price, sell_price, supply, demand, observed_at FROM (SELECT *, row_number() OVER (PARTITION BY station_id, symbol ORDER BY observed_at DESC, "order" DESC, line DESC, buy_price DESC, sell_price DESC, supply DESC, demand DESC) AS rn FROM sightings) WHERE rn=1)"""
 
 

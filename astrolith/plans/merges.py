@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from astrolith.functions import strings
 from astrolith.operators import merge
 from astrolith.plans import galaxy as g
 from astrolith.plans.galaxy import GALAXY_SQL
@@ -117,8 +116,8 @@ def overlay_net(spark, d):
 def merge_symbols(spark, d):
     """Symbols in the feed's wrapping fold onto one canonical form."""
     wrapped = F.concat(F.lit("$"), F.upper(F.regexp_replace("name", " ", "_")), F.lit("_Name;"))
-    rows = g.commodities(spark, d).select(strings.canonical_symbol(F.when(F.col("part") % 2 == 0, wrapped).otherwise(F.regexp_replace("name", " ", "_"))).alias("symbol"), "part")
-    return rows.groupBy("symbol").agg(F.min("part").alias("part"), F.count("*").alias("n"))
+    rows = g.commodities(spark, d).select(F.when(F.col("part") % 2 == 0, wrapped).otherwise(F.regexp_replace("name", " ", "_")).alias("symbol"), "part")
+    return merge.folded_symbols(rows, "symbol", "part")
 
 
 SOURCE_SQL = """, st AS (SELECT CASE WHEN c_custkey%5=0 THEN -c_custkey ELSE c_custkey END AS address, c_name AS name, CASE WHEN c_custkey%4<>0 THEN c_mktsegment END AS economy, CASE WHEN c_custkey%3=0 THEN TIMESTAMP '1996-01-01' END AS source_at, CASE WHEN c_custkey%2=0 THEN TIMESTAMP '1998-06-01' END AS feed_at FROM customer WHERE c_custkey%7<>6),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from astrolith.functions import classes, maths, strings
 from astrolith.operators import boards, spatial
+from astrolith.operators import places as known
 from astrolith.plans import galaxy as g
 from astrolith.plans.galaxy import GALAXY_SQL
 from astrolith.registry import query
@@ -81,7 +82,7 @@ def stations_classed(spark, d):
 @query("SELECT name, kind FROM (SELECT c_name AS name, 'system' AS kind FROM customer UNION ALL SELECT s_name, 'station' FROM supplier) WHERE starts_with(lower(name), 'customer#00000000') OR starts_with(lower(name), 'supplier#00000001') ORDER BY name, kind LIMIT 20")
 def names_completed(spark, d):
     names = g.systems(spark, d).select("name", F.lit("system").alias("kind")).unionAll(g.stations(spark, d).select("station", F.lit("station")))
-    return names.where(F.lower("name").startswith("customer#00000000") | F.lower("name").startswith("supplier#00000001")).orderBy("name", "kind").limit(20)
+    return known.completed(names, ("Customer#00000000", "supplier#00000001"), 20)
 
 
 @query("SELECT DISTINCT controlling_power, power_state FROM (" + GALAXY_SQL + " SELECT * FROM systems)")
@@ -92,9 +93,8 @@ def systems_powers(spark, d):
 @query(GALAXY_SQL + """ SELECT b.body_id, b.body, r.ring, CASE r.ring_class WHEN 'eRingClass_MetalRich' THEN 'Metal Rich' ELSE 'Icy' END AS kind, coalesce(r.hotspots,0) AS hotspots, sy.name AS system, round(sqrt((x-10)*(x-10)+(y+20)*(y+20)+(z-30)*(z-30)),6) AS distance_ly FROM rings r JOIN bodies b ON b.body_id=r.body_id JOIN systems sy ON sy.address=b.system_address
 WHERE (x-10)*(x-10)+(y+20)*(y+20)+(z-30)*(z-30)<=10000""")
 def mining_rings(spark, d):
-    systems = g.systems(spark, d).where(spatial.in_sphere(HERE, 100.0, "cell")).withColumn("distance_ly", maths.distance(F.col("x"), F.col("y"), F.col("z"), *HERE))
-    rings = g.rings(spark, d).join(g.bodies(spark, d), "body_id").join(systems, F.col("system_address") == F.col("address"))
-    return rings.select("body_id", "body", "ring", strings.ring_kind(F.col("ring_class")).alias("kind"), F.coalesce("hotspots", F.lit(0)).alias("hotspots"), F.col("name").alias("system"), F.round("distance_ly", 6).alias("distance_ly"))
+    rows = known.rings_near(g.systems(spark, d), g.bodies(spark, d), g.rings(spark, d), HERE, 100.0)
+    return rows.withColumn("distance_ly", F.round("distance_ly", 6))
 
 
 @query(GALAXY_SQL + """ SELECT ground, landable, count(*) AS n FROM (SELECT landable, CASE WHEN sub_type='Rocky Ice world' THEN 'rocky-ice' WHEN sub_type='High metal content world' THEN 'high-metal-content' WHEN sub_type='Icy body' THEN 'icy' WHEN volcanism='Rocky Magma' THEN 'rock 80%+ [rocky magma]' ELSE 'rock 80%+ [none]' END AS ground FROM bodies) GROUP BY 1,2""")
@@ -110,8 +110,5 @@ def mining_ring_parents(spark, d):
 @query(GALAXY_SQL + """, marks AS (SELECT c_custkey AS mark, CASE WHEN c_custkey%2=0 THEN c_custkey END AS address, upper(c_name) AS name FROM customer) SELECT mark, coalesce(a.address, b.address) AS address FROM marks m LEFT JOIN systems a ON a.address=m.address LEFT JOIN systems b ON m.address IS NULL AND lower(b.name)=lower(m.name)""")
 def marks_resolved(spark, d):
     systems = g.systems(spark, d)
-    marks = systems.select(F.col("address").alias("mark"), F.when(F.col("address") % 2 == 0, F.col("address")).alias("address"), F.lower("name").alias("key"))
-    by_id = marks.join(systems.select("address", F.col("address").alias("a")), "address", "left")
-    by_name = systems.select(F.lower("name").alias("key"), F.col("address").alias("b"))
-    named = by_id.join(by_name, "key", "left")
-    return named.select("mark", F.coalesce("a", F.when(F.col("address").isNull(), F.col("b"))).alias("address"))
+    marks = systems.select(F.col("address").alias("mark"), F.when(F.col("address") % 2 == 0, F.col("address")).alias("address"), F.upper("name").alias("name"))
+    return known.resolve_marks(marks, systems)

@@ -190,4 +190,4 @@ def trade_top_pairs(spark, d):
 
 @query(GALAXY_SQL + """ SELECT symbol, station_id, supply, CAST(greatest(0, least(supply, 300-coalesce(sum(supply) OVER (PARTITION BY symbol ORDER BY buy_price, station_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))) AS BIGINT) AS tons FROM market""")
 def trade_hold_fill(spark, d):
-    return trade.hold_fill(g.market(spark, d), 300, ("symbol",), [F.asc("buy_price"), F.asc("station_id")], "supply").select("symbol", "station_id", "supply", F.col("tons").cast("long").alias("tons"))
+    return trade.fill_by_price(g.market(spark, d), 300, "symbol", "buy_price", "station_id", "supply").select("symbol", "station_id", "supply", F.col("tons").cast("long").alias("tons"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,31 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is set in local mode."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="astrolith-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], order: list[str]) -> DataFrame:
+    """A table derived from the files at ``source``, written once and read again while they stay as they are. Rows lie in
+    order of ``order``, so that a filter on its first column skips files and row groups."""
+    fs, path = file_system(spark, source)
+    files = fs.globStatus(path(source)) or []
+    state = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    key = hashlib.sha256(f"{source} {state} {spark.sparkContext.applicationId}".encode()).hexdigest()[:20]
+    target = f"{shared_folder(spark)}/stored-{name}-{key}"
+    fs, path = file_system(spark, target)
+    if not fs.exists(path(f"{target}/_SUCCESS")):
+        build().repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    return spark.read.parquet(target)
+
+
 def publish(spark: SparkSession, root: str, product: str, version: int, rows: DataFrame, keep: int = 2) -> None:
     """Write a version, then swap the manifest that names it, then prune old versions. Readers see
     the old or the new version as a whole. Any Hadoop file system will do."""
