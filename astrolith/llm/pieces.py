@@ -27,6 +27,7 @@ STEP_BYTES = 2 << 20
 CACHE, REMEMBERED = 300_000, 48
 #: Cells (words times letters) whose substrings are looked up together.
 CELLS = 1 << 17
+SIEVE_BITS = 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,6 +59,11 @@ class Pieces:
             hashes[row] = last[0, 0]
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], plain[order]
+        # the first key of those that begin with some bits, which lie side by side; most substrings find none
+        slot = (self.keys >> np.uint64(64 - SIEVE_BITS)).astype(np.intp)
+        self.first = np.full(1 << SIEVE_BITS, -1, np.int32)
+        self.first[slot[::-1]] = np.arange(len(slot) - 1, -1, -1)
+        self.most = int(np.bincount(slot).max())
         self.unknown = self.score[plain].min() - 10.0
         self.memory: dict[str, bytes] = {}
         self.size = cache
@@ -82,11 +88,13 @@ class Pieces:
         for length, h in self._hashes(part, min(longest, part.shape[1])):
             skip = max(0, low - length - first)  # pieces that end before the block
             h = h[:, skip:]
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            row, col = np.nonzero(self.keys[at] == h)
-            # a hash alone proves nothing
-            got = self.ids[at[row, col]]
-            same = np.ones(len(got), bool)
+            head = self.first[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.intp)]
+            row, col = np.nonzero(head >= 0)
+            key, at = h[row, col], head[row, col]
+            for k in range(1, self.most):
+                at = np.where(self.keys[np.minimum(at + 1, len(self.keys) - 1)] <= key, np.minimum(at + 1, len(self.keys) - 1), at)
+            got = self.ids[at]
+            same = self.keys[at] == key  # and a hash alone proves nothing
             for k in range(length):
                 same &= self.letters[got, k] == part[row, col + skip + k]
             row, col, got = row[same], col[same], got[same]
@@ -103,7 +111,7 @@ class Pieces:
         longest = min(self.longest, n)
         best = np.full((longest + n + 1, rows), -np.inf)  # places count from ``longest``
         best[longest] = 0.0
-        begin = np.zeros((n + 1, rows), np.int64)
+        begin = np.zeros((n + 1, rows), np.int32)
         chosen = np.full((n + 1, rows), -1, np.int32)
         every = np.arange(rows)
         block = max(1, CELLS // rows)
@@ -173,9 +181,13 @@ class Pieces:
         if len(self.memory) > self.size:
             self.memory = {}
         fresh = self.solve(wanted.difference(self.memory))
-        self.memory.update((w, ids) for w, ids in fresh.items() if len(w) <= REMEMBERED)
-        known = self.memory
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
+        self.memory.update(fresh)
+        get = self.memory.__getitem__
+        out = [b"".join(map(get, words)) for words in cut]
+        for w in fresh:
+            if len(w) > REMEMBERED:
+                del self.memory[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; broken UTF-8 from byte pieces becomes replacement characters."""
