@@ -19,8 +19,8 @@ LONGEST = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 STEP_BYTES = 4 << 20
-#: Entries of a worker's cache of encoded chunks, and their letters; it starts anew when full.
-CACHE, CACHE_LETTERS = 300_000, 8 << 20
+#: Entries of a worker's cache of encoded chunks, and letters of the texts that filled it; it starts anew when full.
+CACHE, CACHE_LETTERS = 500_000, 64 << 20
 
 # Fixed by the vocabulary file: its pre-tokenizer's pattern and its special tokens.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼½¾]|[^\\sa-zA-Z0-9ªµº²³¹¼½¾À-ÖØ-öø-ſ]+")
@@ -74,21 +74,30 @@ class ChunkEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        cut = {x: [x] if x.isascii() and x.isalpha() else _PIECE.findall(x) for x in chunks}
-        words = list({w for found in cut.values() for w in found}.difference(self.words))
-        self.held += sum(map(len, chunks))
+        # a chunk of letters is one word; the others are cut into words, which are remembered too
+        plain, cut, wanted = [], {}, set()
+        for x in chunks:
+            if x.isascii() and x.isalpha():
+                plain.append(x)
+            else:
+                cut[x] = found = _PIECE.findall(x)
+                wanted.update(found)
+        words = list(wanted.difference(self.words))
         if len(self.words) + len(words) > self.size:
-            self.words = {}
-            words = list({w for found in cut.values() for w in found})
-        if words:
-            ids = np.array(self.model.encode([w if w.isascii() else w.translate(self.letters) for w in words], is_pretokenized=True).ids, "<u4")
+            self.words, words = {}, list(wanted)
+        every = plain + [w if w.isascii() else w.translate(self.letters) for w in words]
+        if every:
+            ids = np.array(self.model.encode(every, is_pretokenized=True).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(words) or stops[-1] != len(ids):
+            if len(stops) != len(every) or stops[-1] != len(ids):
                 raise RuntimeError("the vocabulary does not end words as expected")
             raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-            self.words.update({w: raw[a:b] for w, a, b in zip(words, at, at[1:])})
+            parts = [raw[a:b] for a, b in zip(at, at[1:])]
+            self.chunks.update(zip(plain, parts))
+            self.words.update(zip(words, parts[len(plain) :]))
         get = self.words.__getitem__
-        self.chunks.update({x: get(found[0]) if len(found) == 1 else b"".join(map(get, found)) for x, found in cut.items()})
+        for x, found in cut.items():
+            self.chunks[x] = b"".join(map(get, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -101,6 +110,7 @@ class ChunkEncoder:
             if missing := kinds.difference(self.chunks):
                 if len(self.chunks) > self.size or self.held > CACHE_LETTERS:
                     self.chunks, self.words, missing, self.held = {}, {}, kinds, 0
+                self.held += len(text)
                 self.learn(missing)
             out.append(b"".join(map(self.chunks.__getitem__, words)))
         return out
