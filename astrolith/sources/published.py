@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,24 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def settled(rows: DataFrame, label: str = "settled") -> DataFrame:
+    """``rows`` written to the shared folder and read again: their lineage, and what a plan thinks of their size, end at
+    files that outlive any executor."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for t in tables:
+        fs, path = file_system(t.sparkSession, t.stored_at)
+        fs.delete(path(t.stored_at), True)
+
+
 def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], order: list[str]) -> DataFrame:
     """A table derived from the files at ``source``, written once and read again while they stay as they are. Rows lie in
     order of ``order``, so that a filter on its first column skips files and row groups."""
