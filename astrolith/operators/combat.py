@@ -11,12 +11,56 @@ from astrolith.functions import times
 from astrolith.operators.journal import ORDER, latest, replay
 
 
+# What journal events count as, kills and incidents.
+KILLS = {"Bounty": "bounty", "FactionKillBond": "faction_kill_bond", "CapShipBond": "capship_bond", "PVPKill": "pvp"}
+INCIDENTS = {"Died": "died", "Interdicted": "interdicted", "Interdiction": "interdiction", "EscapeInterdiction": "escaped_interdiction"}
+
+
+def _field(*keys: str) -> Column:
+    """The first of some fields of a journal line that is there."""
+    return F.coalesce(*(F.get_json_object("raw", f"$.{k}") for k in keys))
+
+
+def _kind(names: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("event")]
+
+
 def kills_of(events: DataFrame) -> DataFrame:
-    """Bounties and bonds out of raw journal lines (commander, ts, file, offset, event, raw)."""
-    field = lambda k: F.get_json_object("raw", f"$.{k}")
-    first = lambda *keys: F.coalesce(*(field(k) for k in keys))
-    rows = events.where(F.col("event").isin("Bounty", "FactionKillBond"))
-    return rows.select("commander", *ORDER, F.when(F.col("event") == "Bounty", "bounty").otherwise("bond").alias("kind"), first("TotalReward", "Reward").cast("long").alias("reward"), first("Target_Localised", "Target").alias("target_ship"), first("VictimFaction_Localised", "VictimFaction").alias("faction"))
+    """Bounties, bonds and duels out of raw journal lines (commander, ts, file, offset, event, raw)."""
+    rows = events.where(F.col("event").isin(*KILLS))
+    return rows.select("commander", *ORDER, _kind(KILLS).alias("kind"), _field("TotalReward", "Reward").cast("long").alias("reward"), _field("Target_Localised", "Target").alias("target_ship"), _field("VictimFaction_Localised", "VictimFaction").alias("faction"))
+
+
+def incidents_of(events: DataFrame) -> DataFrame:
+    rows = events.where(F.col("event").isin(*INCIDENTS))
+    return rows.select("commander", *ORDER, _kind(INCIDENTS).alias("kind"))
+
+
+def sales_of(events: DataFrame) -> DataFrame:
+    """Sales at markets."""
+    number = lambda k: _field(k).cast("long")
+    return events.where("event = 'MarketSell'").select("commander", *ORDER, _field("Type").alias("commodity"), number("MarketID").alias("market_id"), F.coalesce(number("Count"), F.lit(0)).alias("count"), number("SellPrice").alias("sell_price"), number("TotalSale").alias("total_sale"), number("AvgPricePaid").alias("avg_paid"))
+
+
+def merits_of(events: DataFrame) -> DataFrame:
+    rows = events.where("event = 'PowerplayMerits'")
+    return rows.select("commander", *ORDER, _field("Power").alias("power"), _field("MeritsGained").cast("long").alias("merits"), _field("TotalMerits").cast("long").alias("total"))
+
+
+def material_trades(events: DataFrame, since: str) -> DataFrame:
+    """Trades at material traders from a time on; lines without both sides are left out."""
+    side = lambda k: _field(f"{k}.Material_Localised", f"{k}.Material")
+    count = lambda k: F.coalesce(_field(f"{k}.Quantity").cast("long"), F.lit(0))
+    rows = events.where((F.col("event") == "MaterialTrade") & (F.col("ts") >= F.lit(since).cast("timestamp")))
+    out = rows.select("commander", *ORDER, F.coalesce(_field("TraderType"), F.lit("")).alias("trader"), side("Paid").alias("paid"), count("Paid").alias("paid_qty"), side("Received").alias("received"), count("Received").alias("received_qty"))
+    return out.where("paid is not null and received is not null")
+
+
+def stored_modules(events: DataFrame) -> DataFrame:
+    """(commander, slot, item, system): the modules of each commander's newest list of them."""
+    newest = latest(events.where("event = 'StoredModules'").select("commander", *ORDER, "raw"), "commander")
+    items = F.from_json(F.get_json_object("raw", "$.Items"), "array<struct<StorageSlot: int, Name: string, StarSystem: string>>")
+    return newest.select("commander", F.explode(items).alias("m")).select("commander", F.col("m.StorageSlot").alias("slot"), F.col("m.Name").alias("item"), F.col("m.StarSystem").alias("system"))
 
 
 def summary(kills: DataFrame, incidents: DataFrame, since: str) -> DataFrame:

@@ -207,3 +207,24 @@ def sounds_like(heard: DataFrame, names: DataFrame) -> DataFrame:
     near = F.levenshtein(F.lower("heard"), F.lower("name"))
     best = hits.groupBy("heard").agg(F.min(F.struct(near.alias("distance"), "name")).alias("b"))
     return best.select("heard", F.col("b.name").alias("name"), F.col("b.distance").alias("distance"))
+
+
+LOADOUT = "struct<Ship: string, ShipName: string, UnladenMass: double, MaxJumpRange: double, CargoCapacity: double, FuelCapacity: struct<Main: double>, Modules: array<struct<Slot: string, Item: string>>>"
+
+
+def pasted_loadouts(pasted: DataFrame) -> DataFrame:
+    """(id, ship, ship_name, unladen_mass, capacity, max_range, cargo, drive_size, drive_rating, modules, problem) of pasted builds (id, text): a
+    journal line, or a list of builds of which the first counts. ``problem`` says what keeps one from being used."""
+    text = F.trim("text")
+    many = F.get(F.from_json(text, f"array<struct<data: {LOADOUT}>>"), F.lit(0))["data"]
+    build = F.when(text.startswith("["), many).otherwise(F.from_json(text, LOADOUT))
+    rows = pasted.select("id", build.alias("b")).withColumn("__items", F.transform("b.Modules", lambda m: F.lower(m["Item"])))
+    drive = F.get(F.filter("__items", lambda x: x.contains("int_hyperdrive")), F.lit(0))
+    part = lambda pattern: F.nullif(F.regexp_extract(drive, pattern, 1), F.lit(""))
+    rating = F.element_at(F.array(*(F.lit(x) for x in "EDCBA")), F.coalesce(part(r"class([1-5])"), F.lit("5")).cast("int"))
+    lacks = F.array_compact(F.array(*(F.when(F.col(f"b.{c}").isNull(), n) for c, n in (("UnladenMass", "UnladenMass"), ("FuelCapacity.Main", "FuelCapacity"), ("MaxJumpRange", "MaxJumpRange")))))
+    problem = F.when(F.col("b.Ship").isNull() & F.col("b.Modules").isNull(), "unreadable").when(F.size(lacks) > 0, F.concat(F.lit("missing "), F.array_join(lacks, ", "))).when(drive.isNull(), "no drive")
+    return rows.select(
+        "id", F.lower(F.trim("b.Ship")).alias("ship"), F.nullif(F.trim("b.ShipName"), F.lit("")).alias("ship_name"), F.col("b.UnladenMass").alias("unladen_mass"), F.col("b.FuelCapacity.Main").alias("capacity"), F.col("b.MaxJumpRange").alias("max_range"),
+        F.coalesce("b.CargoCapacity", F.lit(0.0)).alias("cargo"), F.when(drive.isNotNull(), F.coalesce(part(r"size([0-9])"), F.lit("5")).cast("int")).alias("drive_size"), F.when(drive.isNotNull(), rating).alias("drive_rating"), F.size("__items").alias("modules"), problem.alias("problem"),
+    )

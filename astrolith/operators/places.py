@@ -164,3 +164,17 @@ def completed(names: DataFrame, prefixes: tuple[str, ...], limit: int) -> DataFr
     for p in prefixes:
         hit |= F.lower("name").startswith(p.lower())
     return names.where(hit).orderBy("name", "kind").limit(limit)
+
+
+def enrichment(asked: DataFrame, cache: DataFrame, now: str, days: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Cached answers (address, answer, fetched_at) no older than some days, and the queue of what a job outside is to fetch: each
+    missing or old address once, never fetched ones first, no more than ``most`` in a run."""
+    ids = asked.select("address").distinct()
+    rows = ids.join(cache, "address", "left").withColumn("__fresh", F.coalesce(F.col("fetched_at") >= F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days)), F.lit(False)))
+    return rows.where("__fresh").drop("__fresh"), rows.where("not __fresh").orderBy(F.col("fetched_at").asc_nulls_first(), "address").limit(most).select("address")
+
+
+def located(rows: DataFrame, systems: DataFrame) -> DataFrame:
+    """Rows (system_address, ...) with their system's position and cell, kept by the join instead of by a trigger."""
+    place = systems.select(F.col("address").alias("system_address"), "x", "y", "z")
+    return rows.join(place, "system_address").withColumn("cell", maths.cell(F.col("x"), F.col("y"), F.col("z")))

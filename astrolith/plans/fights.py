@@ -11,7 +11,7 @@ from astrolith.plans.galaxy import GALAXY_SQL
 from astrolith.registry import query
 
 SINCE = "2024-01-10 00:00:00"
-KILLS_SQL = """, kl AS (SELECT commander, ts, file, "offset", CASE WHEN k%3=0 THEN 'bond' ELSE 'bounty' END AS kind, CAST(floor(value*100) AS BIGINT) AS reward, CASE WHEN k%20<>0 THEN 'ship '||(k%20) END AS target_ship, CASE WHEN k%9<>0 THEN 'Faction '||(k%9) END AS faction FROM ev WHERE event='purchase'),
+KILLS_SQL = """, kl AS (SELECT commander, ts, file, "offset", CASE WHEN k%3=0 THEN 'faction_kill_bond' ELSE 'bounty' END AS kind, CAST(floor(value*100) AS BIGINT) AS reward, CASE WHEN k%20<>0 THEN 'ship '||(k%20) END AS target_ship, CASE WHEN k%9<>0 THEN 'Faction '||(k%9) END AS faction FROM ev WHERE event='purchase'),
 inc AS (SELECT *, CASE k%5 WHEN 0 THEN 'died' WHEN 1 THEN 'interdicted' WHEN 2 THEN 'interdiction' WHEN 3 THEN 'escaped_interdiction' ELSE 'other' END AS kind FROM ev WHERE event='error')"""
 
 
@@ -27,7 +27,8 @@ def _kills(spark, d):
 
 def _incidents(spark, d):
     k = F.col("k") % 5
-    return g.events(spark, d).where("event = 'error'").withColumn("kind", F.when(k == 0, "died").when(k == 1, "interdicted").when(k == 2, "interdiction").when(k == 3, "escaped_interdiction").otherwise("other"))
+    event = F.when(k == 0, "Died").when(k == 1, "Interdicted").when(k == 2, "Interdiction").when(k == 3, "EscapeInterdiction").otherwise("Scanned")
+    return combat.incidents_of(g.events(spark, d).where("event = 'error'").withColumn("event", event))
 
 
 @query(GALAXY_SQL + KILLS_SQL + ' SELECT commander, "offset", kind, reward, target_ship, faction FROM kl')
@@ -224,3 +225,37 @@ def commanders_counted(spark, d):
 def requests_limited(spark, d):
     rows = g.events(spark, d).select((F.col("commander") % 4).alias("source"), "ts", F.col("offset").alias("id"))
     return combat.rate_limited(rows, 36_000.0, 40, 1200.0, 5).groupBy("source", "passed").agg(F.count("*").alias("n"))
+
+
+def _lines(spark, d, kind: str, name: str, line):
+    return g.events(spark, d).where(F.col("event") == kind).withColumn("raw", F.to_json(line)).withColumn("event", F.lit(name))
+
+
+@query(GALAXY_SQL + " SELECT commander, \"offset\", 'good '||(k%40) AS commodity, k AS market_id, \"offset\"%9 AS count, k*7 AS total_sale, CASE WHEN k%4<>0 THEN k END AS avg_paid FROM ev WHERE event='view'")
+def sales_read(spark, d):
+    k, n = F.col("k"), F.col("offset") % 9
+    line = F.struct(F.concat(F.lit("good "), (k % 40).cast("string")).alias("Type"), k.alias("MarketID"), F.when(n > 0, n).alias("Count"), (k * 7).alias("TotalSale"), F.when(k % 4 != 0, k).alias("AvgPricePaid"))
+    return combat.sales_of(_lines(spark, d, "view", "MarketSell", line)).select("commander", "offset", "commodity", "market_id", "count", "total_sale", "avg_paid")
+
+
+@query(GALAXY_SQL + " SELECT commander, \"offset\", 'Power '||(k%5) AS power, k AS merits, k*100 AS total FROM ev WHERE event='click'")
+def merits_read(spark, d):
+    k = F.col("k")
+    line = F.struct(F.concat(F.lit("Power "), (k % 5).cast("string")).alias("Power"), k.alias("MeritsGained"), (k * 100).alias("TotalMerits"))
+    return combat.merits_of(_lines(spark, d, "click", "PowerplayMerits", line)).select("commander", "offset", "power", "merits", "total")
+
+
+@query(GALAXY_SQL + f" SELECT commander, \"offset\", CASE WHEN k%2=0 THEN 'raw' ELSE '' END AS trader, CASE WHEN k%3=0 THEN 'Iron' ELSE 'iron' END AS paid, k AS paid_qty, 'zinc' AS received, CAST(CASE WHEN k%5=0 THEN 0 ELSE 2 END AS BIGINT) AS received_qty FROM ev WHERE event='click' AND k%7<>0 AND ts>=TIMESTAMP '{SINCE}'")
+def trades_read(spark, d):
+    k = F.col("k")
+    paid = F.struct(F.lit("iron").alias("Material"), F.when(k % 3 == 0, "Iron").alias("Material_Localised"), k.alias("Quantity"))
+    received = F.when(k % 7 != 0, F.struct(F.lit("zinc").alias("Material"), F.when(k % 5 != 0, 2).alias("Quantity")))
+    rows = combat.material_trades(_lines(spark, d, "click", "MaterialTrade", F.struct(F.when(k % 2 == 0, "raw").alias("TraderType"), paid.alias("Paid"), received.alias("Received"))), SINCE)
+    return rows.select("commander", "offset", "trader", "paid", "paid_qty", "received", "received_qty")
+
+
+@query(GALAXY_SQL + """ SELECT commander, CAST(s AS INTEGER) AS slot, 'int_'||(k%9+s) AS item, 'Sys '||k AS system FROM (SELECT * FROM ev WHERE event='view' QUALIFY row_number() OVER (PARTITION BY commander ORDER BY ts DESC, file DESC, "offset" DESC)=1), (VALUES (0),(1),(2)) v(s) WHERE s<k%4""")
+def modules_stored(spark, d):
+    k = F.col("k")
+    one = lambda s: F.when(k % 4 > s, F.struct(F.lit(s).alias("StorageSlot"), F.concat(F.lit("int_"), (k % 9 + s).cast("string")).alias("Name"), F.concat(F.lit("Sys "), k.cast("string")).alias("StarSystem")))
+    return combat.stored_modules(_lines(spark, d, "view", "StoredModules", F.struct(F.array_compact(F.array(one(0), one(1), one(2))).alias("Items"))))

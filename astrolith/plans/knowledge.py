@@ -158,3 +158,16 @@ def functions_subtypes(spark, d):
     """A class's subtype reads back as the class."""
     rows = g.stars(spark, d).select("address", classes.subtype_of(F.col("class")).alias("subtype"))
     return rows.withColumn("back", classes.star_from_subtype(F.col("subtype")))
+
+
+@query(GALAXY_SQL + ", a AS (SELECT DISTINCT o_custkey AS address FROM orders), r AS (SELECT a.address, class, observed_at, coalesce(observed_at>=TIMESTAMP '2001-12-01'-INTERVAL 20 DAY,false) AS f FROM a LEFT JOIN stars s ON s.address=a.address) SELECT address, class AS answer FROM r WHERE f UNION ALL (SELECT address, 'queued' FROM r WHERE NOT f ORDER BY observed_at ASC NULLS FIRST, address LIMIT 300)")
+def stars_enriched(spark, d):
+    cache = g.stars(spark, d).select("address", F.col("class").alias("answer"), F.col("observed_at").alias("fetched_at"))
+    asked = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("address"))
+    known, queue = places.enrichment(asked, cache, NOW, 20, 300)
+    return known.select("address", "answer").unionAll(queue.select("address", F.lit("queued")))
+
+
+@query(GALAXY_SQL + " SELECT id, (CAST(floor(x/100) AS BIGINT)+1024)*2048*2048+(CAST(floor(y/100) AS BIGINT)+1024)*2048+CAST(floor(z/100) AS BIGINT)+1024 AS cell FROM stations JOIN systems ON address=system_address")
+def stations_located(spark, d):
+    return places.located(g.stations(spark, d), g.systems(spark, d)).select("id", "cell")

@@ -148,3 +148,15 @@ def texts_clipped(spark, d):
 def names_heard(spark, d):
     heard = g.commodities(spark, d).select(F.translate("name", "aeiou", "eaiuo").alias("heard")).distinct()
     return eng.sounds_like(heard, g.commodities(spark, d).select("name").distinct())
+
+
+@query("SELECT p_partkey AS id, CASE WHEN k=4 THEN NULL ELSE 'asp' END AS ship, CASE WHEN k<>4 AND p_partkey%2=0 THEN 'Name' END AS ship_name, CASE WHEN k NOT IN (2,4) THEN 280.5 END AS unladen_mass, CASE WHEN k<>4 THEN 32.0 END AS capacity, CASE WHEN k<>4 THEN 30.0+p_partkey END AS max_range, CASE WHEN k IN (1,3) THEN 64.0 ELSE 0.0 END AS cargo, CASE WHEN k NOT IN (3,4) THEN CAST(p_partkey%7+2 AS INTEGER) END AS drive_size, CASE WHEN k NOT IN (3,4) THEN (['E','D','C','B','A'])[p_partkey%5+1] END AS drive_rating, CASE WHEN k=4 THEN NULL WHEN k=3 THEN 1 ELSE 2 END AS modules, CASE k WHEN 4 THEN 'unreadable' WHEN 2 THEN 'missing UnladenMass' WHEN 3 THEN 'no drive' END AS problem FROM (SELECT *, p_partkey%6 AS k FROM part)".replace("p_partkey%6 AS k", "CASE WHEN p_partkey%6=5 THEN 0 ELSE p_partkey%6 END AS k"))
+def loadouts_pasted(spark, d):
+    """Journal lines, lists of builds, ones without a mass or a drive, and what is no build at all."""
+    p = F.col("p_partkey")
+    k = F.when(p % 6 == 5, 0).otherwise(p % 6)
+    drive = F.struct(F.lit("FrameShiftDrive").alias("Slot"), F.format_string("Int_Hyperdrive_Size%d_Class%d", p % 7 + 2, p % 5 + 1).alias("Item"))
+    modules = F.when(k == 3, F.array(F.struct(F.lit("Slot").alias("Slot"), F.lit("Int_Scoop").alias("Item")))).otherwise(F.array(drive, F.struct(F.lit("Slot").alias("Slot"), F.lit("Int_Scoop").alias("Item"))))
+    build = F.struct(F.lit(" Asp ").alias("Ship"), F.when(p % 2 == 0, " Name ").otherwise(" ").alias("ShipName"), F.when(k != 2, 280.5).alias("UnladenMass"), (30.0 + p).alias("MaxJumpRange"), F.when(k.isin(1, 3), 64.0).alias("CargoCapacity"), F.struct(F.lit(32.0).alias("Main")).alias("FuelCapacity"), modules.alias("Modules"))
+    text = F.when(k == 4, "not a build").when(k == 1, F.to_json(F.array(F.struct(build.alias("data"))))).otherwise(F.to_json(build))
+    return eng.pasted_loadouts(spark.read.parquet(f"{d}/part.parquet").select(p.alias("id"), text.alias("text")))
