@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,20 +154,25 @@ def lock_to_kill(events: DataFrame) -> DataFrame:
 def suppressed_repeats(rows: DataFrame, seconds: Column) -> DataFrame:
     """Callouts (commander, kind, text, ts) that pass a repeat gate, with how many were suppressed since
     the last that did. A window starts anew only when one passes, so the fold is sequential
-    in each (commander, kind, text)."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(ORDER))
-        out, last, held = [], None, 0
-        for r in part.itertuples():
-            if last is None or (r.ts - last).total_seconds() >= r.gate:
-                out.append((r.commander, r.kind, r.text, r.ts, held))
-                last, held = r.ts, 0
-            else:
-                held += 1
-        return pd.DataFrame(out, columns=["commander", "kind", "text", "ts", "suppressed"])
-
-    return rows.withColumn("gate", seconds).groupBy("commander", "kind", "text").applyInPandas(fold, "commander long, kind string, text string, ts timestamp, suppressed long")
+    in each (commander, kind, text): rows stream by in order, and only the last that passed is held."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last, held = None, 0, 0
+        for rows in batches:
+            at = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
+            passed, counts = [], []
+            for k, (one, now, gate) in enumerate(zip(zip(rows["commander"], rows["kind"], rows["text"]), at, (rows["gate"] * 1e6).tolist())):
+                if one == key and now - last < gate:
+                    held += 1
+                    continue
+                passed.append(k)
+                counts.append(held if one == key else 0)
+                key, last, held = one, now, 0
+            yield rows.iloc[passed][["commander", "kind", "text", "ts"]].assign(suppressed=counts)
+
+    keys = ["commander", "kind", "text"]
+    dealt = rows.select(*keys, *ORDER, seconds.alias("gate")).repartition(*keys).sortWithinPartitions(*keys, *ORDER)
+    return dealt.mapInPandas(fold, "commander long, kind string, text string, ts timestamp, suppressed long")
 
 
 def in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:

@@ -488,3 +488,25 @@ def test_trades_against_loops(spark, medium, policy):
         by.setdefault(r.commander, []).append(r.asDict())
     want = {c: t for c, rows in by.items() if (t := _plain_trades(rows, policy))}
     assert got == want and {w for t in want.values() for *_, w in t} >= {"down"}
+
+
+def test_repeat_gates_against_a_loop(spark, medium):
+    """Every callout of the journal, in batches that cut groups."""
+    from astrolith.plans import galaxy
+
+    rows = galaxy.events(spark, medium).select("commander", "ts", "file", "offset", F.col("event").alias("kind"), (F.col("k") % 3).cast("string").alias("text"))
+    want, state = [], {}
+    for r in sorted(rows.collect(), key=lambda r: (r.ts, r.file, r.offset)):
+        key = (r.commander, r.kind, r.text)
+        last, held = state.get(key, (None, 0))
+        if last is not None and (r.ts - last).total_seconds() < (86400 if r.kind == "error" else 43200):
+            state[key] = (last, held + 1)
+        else:
+            want.append((*key, r.ts, held))
+            state[key] = (r.ts, 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = [tuple(r) for r in registry.queries()["events_callouts"](spark, medium).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want)
