@@ -1,4 +1,4 @@
-"""Personal data: exact base kinds, and information-theoretic sanitisation of what gives them away.
+"""Personal data: exact base kinds, credentials, and information-theoretic sanitisation of what gives them away.
 
 A term t discloses the protected value e by its pointwise mutual information with it,
 ``log2(n(e,t) * N / (n(e) * n(t)))``, estimated from co-occurrence over all documents. The
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from astrolith.llm.common import KEY, SPANS, materialise, row_key, text_chunks
 
-KINDS = ("email", "ip", "card", "phone", "term")
-LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+#: Kinds of the base, which are counted and make up the digest.
+BASE = KINDS[:4]
+LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>", "term": "<TERM>"}
 GENERALISE, REMOVE = 0.8, 0.95
 #: Documents in which a term must occur with a value before the estimate counts as evidence.
 SUPPORT = 2
@@ -86,9 +88,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+# Words that a credential is assigned to; its value has twelve signs or more, a digit among them.
+_NAMES = ("password", "passwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key")
+_SECRET = re.compile(rf"(?:{'|'.join(_NAMES)})\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[A-Za-z0-9+/_-]*[0-9])([A-Za-z0-9+/_-]{{12,}})", re.IGNORECASE)
+
+
+def all_spans(text: str) -> list[tuple[str, int, int]]:
+    """The base spans and those of assigned credentials, in order of start, then of kind."""
+    out = base_spans(text)
+    low = text.lower()
+    if any(name in low for name in _NAMES):
+        out = sorted([*out, *(("secret", *m.span(1)) for m in _SECRET.finditer(text))], key=lambda x: (x[1], KINDS.index(x[0])))
+    return out
+
+
 def _value(kind: str, text: str) -> int:
     """One key for a protected value, however it is written."""
-    plain = text.lower() if kind in ("email", "ip") else "".join(c for c in text if c.isdigit())
+    plain = text.lower() if kind in ("email", "ip") else text if kind == "secret" else "".join(c for c in text if c.isdigit())
     return np.uint64(xxhash.xxh3_64_intdigest(f"{kind}:{plain}")).view(np.int64).item()
 
 
@@ -115,12 +131,12 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches, "text", STEP_BYTES):
         columns: list[list] = [[] for _ in range(10)]
         for text in batch.column("text").to_pylist():
-            spans = base_spans(text) if text else []
+            spans = all_spans(text) if text else []
             if not spans:
                 row = (0, 0, 0, 0, nothing, [], [], [], [], None)
             else:
                 count = Counter(k for k, _, _ in spans)
-                row = (*(count[k] for k in KINDS[:4]), hashlib.sha256(joined(spans).encode()).hexdigest(), *map(list, zip(*spans)), _values(text, spans), text)  # texts with spans only are read again
+                row = (*(count[k] for k in BASE), hashlib.sha256(joined([x for x in spans if x[0] in BASE]).encode()).hexdigest(), *map(list, zip(*spans)), _values(text, spans), text)  # texts with spans only are read again
             for c, v in zip(columns, row):
                 c.append(v)
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string()]
@@ -160,7 +176,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in text_chunks(batches, "text", STEP_BYTES):
         for text, values in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist()):
-            terms = {m[0].lower() for m in _outside(text, base_spans(text))}
+            terms = {m[0].lower() for m in _outside(text, all_spans(text))}
             for value in values:
                 size -= len(held[value])
                 held[value].update(terms)
@@ -198,14 +214,14 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, told in zip(batch.column("text").to_pylist(), batch.column("told").to_pylist()):
             share = {x["term"]: x["share"] for x in sorted(told, key=lambda x: x["share"])}
-            out.append([{"s": m.start(), "order": order, "kind": "term", "e": m.end(), "remove": share[t] >= REMOVE} for m in _outside(text, base_spans(text)) if (t := m[0].lower()) in share])
+            out.append([{"s": m.start(), "order": order, "kind": "term", "e": m.end(), "remove": share[t] >= REMOVE} for m in _outside(text, all_spans(text)) if (t := m[0].lower()) in share])
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, pa.list_(kind))], names=["uid", "extra"])
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): uid, doc_id, counts and digest of the base
-    spans, and ``spans``: all spans as structs (s, order, kind, e, remove), those of disclosing
-    terms included. A null text is empty. Repeated rows count as documents of their own and
+    spans, and ``spans``: all spans as structs (s, order, kind, e, remove), those of credentials and
+    disclosing terms included. A null text is empty. Repeated rows count as documents of their own and
     get equal spans. Null ids stay. Texts are read whole."""
     docs = docs.select("doc_id", "text", row_key().alias("uid"))
     found = materialise(docs.select("uid", "doc_id", "text").mapInArrow(_find, _FOUND), "found")

@@ -223,6 +223,17 @@ def test_base_spans_against_plain_patterns():
         assert pii.base_spans(t) == _plain_spans(t), t
 
 
+def test_credentials_go(spark):
+    rows = [(1, 'on password=7602ad27cf5550de1c st and Token = "1beb58b8af68854f0e01b4ad40" in'), (2, "the token of the secret: abcdefghijklmnop and password = short1"), (3, "api_key: AB12cd34EF56gh and a.b@c.de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_spans(docs).collect()}
+    said = {k: [(x.kind, rows[k - 1][1][x.s : x.e]) for x in r.spans] for k, r in got.items()}
+    assert said == {1: [("secret", "7602ad27cf5550de1c"), ("secret", "1beb58b8af68854f0e01b4ad40")], 2: [], 3: [("secret", "AB12cd34EF56gh"), ("email", "a.b@c.de")]}
+    assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest() and got[3].n_email == 1 and got[3].base_sha256 == hashlib.sha256(b"email:28:36").hexdigest()
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == 'on password=<SECRET> st and Token = "<SECRET>" in' and clean[2] == rows[1][1]
+
+
 def test_disclosing_terms(spark):
     """A term that stands by an address in several documents and nowhere else gives it away."""
     rows = [(k, f"contact zebulon quaxley of the office at z.q@ex.org about number {k}") for k in range(3)]
