@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from astrolith.llm.common import least_hashes, text_chunks
 
 #: Bounds of the training sample: whole labelled texts (those of the least hashes), and their bytes.
-SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
+SAMPLE, SAMPLE_BYTES = 1000, 8 << 20
 #: Words of the pieces that training sequences consist of, and pieces of a sequence.
 PIECE, PIECES = (4, 24), 3
 #: Words that forward-backward passes one after the other; segments of longer texts advance together.
@@ -166,7 +166,7 @@ class Tagger:
         return np.add.reduceat(self.weights[slot], first, axis=0) / np.sqrt(size)[:, None]
 
 
-def train(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 0.3, decay: float = 2e-4, seed: int = 11) -> Tagger | None:
+def train(rows: list[tuple[str, str]], rounds: int = 25, rate: float = 0.3, decay: float = 2e-4, seed: int = 11) -> Tagger | None:
     """A tagger from (text, language) pairs; None if there is nothing to learn."""
     labels = sorted({lang for _, lang in rows})
     texts = [(ws, labels.index(lang)) for text, lang in rows if (ws := [w.lower() for w in _WORD.findall(text)])]
