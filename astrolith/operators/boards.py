@@ -86,7 +86,7 @@ def resolve_commodity(commodities: DataFrame, text: str, limit: int = 8) -> Data
 
 def station_board(market: DataFrame, commodities: DataFrame, station: int) -> DataFrame:
     rows = market.where(F.col("station_id") == station)
-    return rows.join(F.broadcast(commodities), "symbol", "left").select("symbol", F.coalesce("name", "symbol").alias("commodity"), "category", "buy_price", "sell_price", "supply", "demand").orderBy("commodity", "symbol")
+    return rows.join(commodities, "symbol", "left").select("symbol", F.coalesce("name", "symbol").alias("commodity"), "category", "buy_price", "sell_price", "supply", "demand").orderBy("commodity", "symbol")
 
 
 def price_stats(market: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def stations_near(systems: DataFrame, stations: DataFrame, services: DataFrame,
 
 def sell_hold(market: DataFrame, hold: DataFrame, limit: int = 30) -> DataFrame:
     """Where a hold (symbol, held) brings most: price times what is both held and in demand."""
-    rows = market.join(F.broadcast(hold), "symbol").where("sell_price > 0 and demand > 0")
+    rows = market.join(hold, "symbol").where("sell_price > 0 and demand > 0")
     take = F.least("held", "demand")
     return rows.groupBy("station_id").agg(F.sum(F.col("sell_price") * take).alias("credits"), F.count("*").alias("lines")).orderBy(F.desc("credits"), "station_id").limit(limit)
 

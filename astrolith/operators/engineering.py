@@ -145,6 +145,13 @@ def flat(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
+def _small(catalog: DataFrame, most: int = 20_000) -> DataFrame:
+    """A catalog for a broadcast, once its size is seen to be bounded."""
+    if catalog.limit(most + 1).count() > most:
+        raise ValueError(f"a catalog of more than {most} entries")
+    return F.broadcast(catalog)
+
+
 def resolve_modules(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     """(asked, symbol): the modules that typed words mean. A symbol stands for itself; a leading size and rating narrow
     ("5a shield"); exact names win over those that hold the words; a rating that none has is dropped.
@@ -154,8 +161,8 @@ def resolve_modules(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     part = lambda k: F.nullif(F.regexp_extract(F.lower(F.trim("asked")), r"^(?:([0-9])([a-i])?\s+)?(.*)$", k), F.lit(""))
     rows = asked.select("asked", flat(words).alias("__want"), part(1).alias("__size"), part(2).alias("__rating"), F.lower(F.trim("asked")).alias("__typed")).where("__want <> ''")
     table = catalog.select("symbol", flat(F.col("name")).alias("__name"), F.col("class").alias("__class"), F.lower("rating").alias("__rate"))
-    # the catalog is small and of fixed size; the words are what grows
-    hits = rows.join(F.broadcast(table), (F.col("__typed") == F.col("symbol")) | (F.col("__name").contains(F.col("__want")) & F.coalesce(F.col("__class") == F.col("__size"), F.lit(True))))
+    # the catalog is small; the words are what grows
+    hits = rows.join(_small(table), (F.col("__typed") == F.col("symbol")) | (F.col("__name").contains(F.col("__want")) & F.coalesce(F.col("__class") == F.col("__size"), F.lit(True))))
     typed = F.col("__typed") == F.col("symbol")
     rated = F.coalesce(F.col("__rate") == F.col("__rating"), F.lit(True))
     exact = F.col("__name") == F.col("__want")
@@ -169,7 +176,7 @@ def resolve_ships(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     """(asked, symbol): the hull of that symbol or name, or the only one that holds the words."""
     table = catalog.select("symbol", flat(F.col("symbol")).alias("__s"), flat(F.col("name")).alias("__n"))
     rows = asked.select("asked", flat(F.col("asked")).alias("__q")).where("__q <> ''")
-    hits = rows.join(F.broadcast(table), F.col("__s").contains(F.col("__q")) | F.col("__n").contains(F.col("__q")))
+    hits = rows.join(_small(table), F.col("__s").contains(F.col("__q")) | F.col("__n").contains(F.col("__q")))
     exact = (F.col("__s") == F.col("__q")) | (F.col("__n") == F.col("__q"))
     found = hits.groupBy("asked").agg(F.min(F.when(exact, F.col("symbol"))).alias("exact"), F.min("symbol").alias("one"), F.count("*").alias("n"))
     return found.select("asked", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("symbol")).where("symbol is not null")

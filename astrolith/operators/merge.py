@@ -51,7 +51,7 @@ def prefer_sources(rows: DataFrame, key: str, weak: str = "navroute") -> DataFra
 def promote(stations: DataFrame, promotions: DataFrame) -> DataFrame:
     """Stations of provisional systems (negative addresses) under their real addresses."""
     known = promotions.select(F.col("provisional").alias("system_address"), "real")
-    return stations.join(F.broadcast(known), "system_address", "left").withColumn("system_address", F.coalesce("real", "system_address")).drop("real")
+    return stations.join(known, "system_address", "left").withColumn("system_address", F.coalesce("real", "system_address")).drop("real")
 
 
 def patch_prices(board: DataFrame, seen: DataFrame) -> DataFrame:
