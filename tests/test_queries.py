@@ -132,6 +132,18 @@ def test_rings_close_and_count_once(spark):
     assert all(r.path[0] == min(r.path) for r in rings)
 
 
+def _boards(spark, stations, goods):
+    """Places (id, x, y, z, arrival_ls) and boards (station_id, symbol, buy_price, sell_price, supply, demand)."""
+    return spark.createDataFrame(stations, "id long, x double, y double, z double, arrival_ls double"), spark.createDataFrame(goods, "station_id long, symbol string, buy_price long, sell_price long, supply long, demand long")
+
+
+def test_report_has_all_round_trips_of_its_source(spark):
+    stations = [(k, float(k), 0.0, 0.0, None) for k in range(62)]
+    goods = [(k, good, buy, sell, 10, 10) for k in range(62) for good, buy, sell in (("out", 100, 150 if k else 0), ("back", 100 if k else 0, 150 if not k else 0))]
+    trips = trade.report(*_boards(spark, stations, goods), trade.maths.Ship(), 100.0, (0.0, 0.0, 0.0), 0).round_trips.collect()
+    assert sorted((r.from_id, r.to_id) for r in trips) == [(0, k) for k in range(1, 62)]
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
