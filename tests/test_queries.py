@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, and the operators that SQL cannot say against
 plain versions."""
 
+import collections
 import datetime
 import itertools
 import json
@@ -144,6 +145,38 @@ def test_report_has_all_round_trips_of_its_source(spark):
     assert sorted((r.from_id, r.to_id) for r in trips) == [(0, k) for k in range(1, 62)]
 
 
+def _plain_legs(stations, goods, reach, hold):
+    legs = {}
+    for f, t in itertools.permutations(stations, 2):
+        if math.dist(f[1:4], t[1:4]) <= reach:
+            offers = [(s[3] - b[2], b[1], min(b[4], s[5])) for b in goods for s in goods if (b[0], s[0]) == (f[0], t[0]) and b[1] == s[1] and min(b[2], b[4], s[5]) > 0 and s[3] > b[2]]
+            left, tons, profit = hold, 0, 0
+            for gain, _, amount in (best := sorted(offers, key=lambda o: (-o[0], o[1]))[:4]):
+                own = max(0, min(amount, left))
+                left, tons, profit = left - amount, tons + own, profit + own * gain
+            if best:
+                legs[f[0], t[0]] = (best[0][1], tons, profit)
+    return legs
+
+
+def _random_boards(seed, far=40.0):
+    rng = random.Random(seed)
+    stations = [(k, *(rng.uniform(-far, far) for _ in "xyz"), rng.choice([None, 100.0])) for k in range(40)]
+    goods = [(k, f"g{n}", rng.choice([0, 90, 100, 110]), rng.choice([0, 95, 105, 120]), rng.choice([0, 20, 90]), rng.choice([0, 30, 200])) for k in range(40) for n in rng.choices(range(12), k=8)]
+    return stations, goods
+
+
+def test_legs_are_those_of_all_pairs_and_no_rows_of_goods_are_shuffled(spark):
+    stations, goods = _random_boards(1)
+    legs = trade.best_legs(*_boards(spark, stations, goods), trade.maths.Ship(), 30.0)
+    assert "Window" not in legs._jdf.queryExecution().toString()
+    want = _plain_legs(stations, goods, 30.0, 200)
+    got = {(r.from_id, r.to_id): (r.symbol, r.tons, r.profit) for r in legs.collect()}
+    assert set(got) == set(want) and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    one = {(good[0], good[1]) for good in goods if sum(o[:2] == good[:2] for o in goods) > 1}  # offers of one good at one price stand in any order
+    assert all(got[k] == want[k] for k in want if not any(s in k for s, _ in one)) and len(want) > 100
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
