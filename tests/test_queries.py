@@ -177,6 +177,15 @@ def test_legs_are_those_of_all_pairs_and_no_rows_of_goods_are_shuffled(spark):
     assert all(got[k] == want[k] for k in want if not any(s in k for s, _ in one)) and len(want) > 100
 
 
+LEGS = "from_id long, to_id long, symbol string, tons long, profit long, distance_ly double, seconds double, per_hour double, per_hour_repeat double"
+
+
+def test_rings_without_a_beam_are_whole(spark):
+    pairs = [(a, b) for k in range(0, 1000, 2) for a, b in ((k, k + 1), (k + 1, k))]
+    frame = spark.createDataFrame([(a, b, "g", 10, 100 + a, 10.0, 600.0, 600.0 * (100 + a), 1.0) for a, b in pairs], LEGS)
+    assert trade.rings(frame, 4, beam=None).count() == 500
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
