@@ -186,6 +186,23 @@ def test_rings_without_a_beam_are_whole(spark):
     assert trade.rings(frame, 4, beam=None).count() == 500
 
 
+def test_rings_of_equal_rates_go_by_profit_and_then_backwards(spark):
+    legs = [(1, 2, 100, 100.0), (2, 3, 100, 100.0), (3, 1, 100, 100.0), (1, 3, 100, 100.0), (3, 2, 100, 100.0), (2, 1, 100, 100.0)]
+    more = [(4, 5, 100, 100.0), (5, 6, 100, 100.0), (6, 4, 100, 100.0), (4, 6, 200, 200.00001), (6, 5, 200, 200.0), (5, 4, 200, 200.0)]
+    frame = spark.createDataFrame([(a, b, "g", 10, p, 10.0, s, p / (s / 3600.0), 1.0) for a, b, p, s in legs + more], LEGS)
+    best = {tuple(r.stations): tuple(r.path) for r in trade.rings(frame, 3, beam=None).collect() if len(r.stations) == 3}
+    # 1 3 2 turned to 2 1 3 reads 3 1 2 backwards, 1 2 3 reads 3 2 1; of 4 5 6 the way of more profit wins at a rate equal to a thousandth
+    assert best == {(1, 2, 3): (1, 2, 3), (4, 5, 6): (4, 6, 5)}
+
+
+def test_rings_turned_come_from_all_rings(spark):
+    pairs = [(a, b) for k in range(0, 600, 2) for a, b in ((k, k + 1), (k + 1, k))]
+    rings = trade.rings(spark.createDataFrame([(a, b, "g", 10, 100 + a, 10.0, 600.0, 600.0 * (100 + a), 1.0) for a, b in pairs], LEGS), 4, beam=None)
+    places = spark.createDataFrame([(k, float(-k), 0.0, 0.0) for k in range(600)], "id long, x double, y double, z double")
+    got = sorted(tuple(r.path) for r in trade.rotated(rings, places, (-600.0, 0.0, 0.0)).collect())
+    assert got == [(k + 1, k) for k in range(0, 600, 2)]
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
