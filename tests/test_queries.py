@@ -203,6 +203,15 @@ def test_rings_turned_come_from_all_rings(spark):
     assert got == [(k + 1, k) for k in range(0, 600, 2)]
 
 
+def test_legs_of_few_sources_are_diversified_by_source_and_good(spark):
+    stations, goods = _random_boards(2)
+    legs = trade.best_legs(*_boards(spark, stations, goods), trade.maths.Ship(), 30.0)
+    every, few = legs.collect(), trade.diversify(legs).collect()
+    count = lambda rows: collections.Counter((r.from_id, r.symbol) for r in rows)
+    assert count(few) == {k: min(3, n) for k, n in count(every).items()}
+    assert "cartesian" not in (plan := trade.diversify(legs)._jdf.queryExecution().toString()).lower() and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
