@@ -212,6 +212,14 @@ def test_legs_of_few_sources_are_diversified_by_source_and_good(spark):
     assert "cartesian" not in (plan := trade.diversify(legs)._jdf.queryExecution().toString()).lower() and "FlatMapCoGroupsInArrow" in plan
 
 
+def test_reports_of_one_source_hold_its_legs(spark):
+    ship, boards = trade.maths.Ship(), _boards(spark, *_random_boards(5))
+    every = trade.best_legs(*boards, ship, 30.0)
+    legs = trade.best_legs(*boards, ship, 30.0, source=7).collect()
+    assert legs and {tuple(r) for r in legs} == {tuple(r) for r in every.where("from_id = 7").collect()}
+    assert {(r.from_id, r.to_id) for r in trade.best_legs(*boards, ship, 30.0, per_pair=1).collect()} == {(r.from_id, r.to_id) for r in every.collect()}
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
