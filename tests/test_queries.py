@@ -220,6 +220,13 @@ def test_reports_of_one_source_hold_its_legs(spark):
     assert {(r.from_id, r.to_id) for r in trade.best_legs(*boards, ship, 30.0, per_pair=1).collect()} == {(r.from_id, r.to_id) for r in every.collect()}
 
 
+def test_trips_found_in_one_place_are_the_opposite_legs(spark):
+    ship, boards = trade.maths.Ship(), _boards(spark, *_random_boards(4))
+    want = {tuple(r) for r in trade.round_trips(trade.best_legs(*boards, ship, 30.0)).collect()}
+    assert want and {tuple(r) for r in trade.best_trips(*boards, ship, 30.0).collect()} == want
+    assert {tuple(r) for r in trade.best_trips(*boards, ship, 30.0, source=20).collect()} == {t for t in want if 20 in t[:2]}
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
