@@ -227,6 +227,15 @@ def test_trips_found_in_one_place_are_the_opposite_legs(spark):
     assert {tuple(r) for r in trade.best_trips(*boards, ship, 30.0, source=20).collect()} == {t for t in want if 20 in t[:2]}
 
 
+def test_top_pairs_come_out_of_boards_that_meet_whole(spark):
+    stations, goods = _random_boards(3)
+    legs = trade.best_legs(*_boards(spark, stations, goods), trade.maths.Ship(), 30.0)
+    top = trade.top_pairs(legs, "per_hour", 25)
+    want = sorted(((-r.per_hour, r.from_id, r.to_id) for r in legs.collect()))[:25]
+    assert [(-r.per_hour, r.from_id, r.to_id) for r in top.collect()] == want
+    assert "FlatMapCoGroupsInArrow" in top._jdf.queryExecution().toString()
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
