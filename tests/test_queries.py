@@ -236,6 +236,25 @@ def test_top_pairs_come_out_of_boards_that_meet_whole(spark):
     assert "FlatMapCoGroupsInArrow" in top._jdf.queryExecution().toString()
 
 
+def _cells_by_hand(points, size, reach):
+    best = {}
+    for a, b in itertools.combinations(points, 2):
+        one, two = ("/".join(str(math.floor(v / size)) for v in p[1:]) for p in (a, b))
+        if one != two and (gap := _gap(a, b)) <= reach:
+            best[one, two] = best[two, one] = min(gap, best.get((one, two), math.inf))
+    return best
+
+
+@pytest.mark.parametrize("count,size,reach", [(700, 20.0, 20.0), (60, 8.0, 20.0)])
+def test_cells_are_linked_by_their_nearest_points_without_rows_of_pairs(spark, count, size, reach):
+    points = [(k, x - 30.0, y - 30.0, z) for k, x, y, z in _cloud(count, count)]
+    cells, links = graph.cell_graph(spark.createDataFrame(points, "address long, x double, y double, z double"), size, reach)
+    assert "FlatMapCoGroupsInArrow" in links._jdf.queryExecution().toString()
+    want, got = _cells_by_hand(points, size, reach), {(r.src, r.dst): r.distance_ly for r in links.collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    assert sum(r.points for r in cells.collect()) == count
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
