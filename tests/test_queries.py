@@ -255,6 +255,20 @@ def test_cells_are_linked_by_their_nearest_points_without_rows_of_pairs(spark, c
     assert sum(r.points for r in cells.collect()) == count
 
 
+def test_goal_fields_of_nearest_points(spark):
+    points = _cloud(200, 12)
+    links = graph.cell_graph(spark.createDataFrame(points, "address long, x double, y double, z double"), 15.0, 15.0)[1]
+    assert "FlatMapCoGroupsInArrow" in links._jdf.queryExecution().toString()
+    ways, goal = _cells_by_hand(points, 15.0, 15.0), "0/0/0"
+    cost = {goal: 0.0}
+    for _ in range(80):
+        for (a, b), ly in ways.items():
+            cost[a] = min(cost.get(a, math.inf), cost.get(b, math.inf) + ly)
+    want = {k: v for k, v in cost.items() if v < math.inf}
+    got = {r.node: r.cost for r in graph.goal_field(links, goal).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items())
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
