@@ -269,6 +269,20 @@ def test_goal_fields_of_nearest_points(spark):
     assert set(got) == set(want) and all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items())
 
 
+@pytest.mark.parametrize("count,reach,size", [(300, 9.0, 100.0), (300, 14.0, 100.0), (400, 3.0, 20.0), (40, 30.0, 400.0)])
+def test_components_of_points_need_no_links(spark, count, reach, size):
+    points = [(k, x - size / 2, y - size / 2, z) for k, x, y, z in _cloud(count, count, size)] + [(0, 5 * size, 0.0, 0.0), (count, 5 * size, 0.0, reach), (count + 1, None, None, None)]
+    near = {k: {k} for k in range(count + 2)}
+    for a, b in itertools.combinations(points[:-1], 2):
+        if a[0] != b[0] and _gap(a, b) <= reach:
+            near[a[0]].add(b[0]), near[b[0]].add(a[0])
+    label = {k: k for k in near}
+    for _ in near:
+        label = {k: min(label[n] for n in near[k]) for k in near}
+    got = graph.point_components(spark.createDataFrame(points, "address long, x double, y double, z double"), reach).collect()
+    assert len(got) == count + 2 and {r.node: r.label for r in got} == label
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
