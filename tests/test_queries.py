@@ -283,6 +283,22 @@ def test_components_of_points_need_no_links(spark, count, reach, size):
     assert len(got) == count + 2 and {r.node: r.label for r in got} == label
 
 
+@pytest.mark.parametrize("seed,reach", [(21, 8.0), (22, 10.0), (23, 12.0)])
+def test_injections_between_points_need_no_links(spark, seed, reach):
+    points = _cloud(150, seed, 100.0) + [(-5, 900.0, 0.0, 0.0)]
+    frame = spark.createDataFrame(points, "address long, x double, y double, z double")
+    links = {(a[0], b[0]): _gap(a, b) for a, b in itertools.permutations(points, 2) if _gap(a, b) <= 2 * reach}
+    start = min(a for a, _ in links)
+    assert graph.first_linked(frame, 2 * reach) == start
+    least = {start: 0}
+    for _ in points:
+        for (a, b), ly in links.items():
+            if a in least and least[a] + (ly > reach) <= 3:
+                least[b] = min(least.get(b, 9), least[a] + (ly > reach))
+    got = graph.point_injections(frame, start, reach, 3).collect()
+    assert {r.node: r.injections for r in got} == least and len(got) == len(least)
+
+
 def test_missions_fold(spark):
     t = lambda k: datetime.datetime(2024, 1, k)
     rows = [
