@@ -10,6 +10,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,35 @@ def test_top_pairs_come_out_of_boards_that_meet_whole(spark):
     assert "FlatMapCoGroupsInArrow" in top._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("parts", [8192, 2])
+def test_best_legs_of_sources_are_kept_where_they_are_found(spark, monkeypatch, parts):
+    monkeypatch.setattr(trade.legs, "TARGETS", parts)  # with few: a source's legs are found in several places
+    ship, boards = trade.maths.Ship(), _boards(spark, *_random_boards(6))
+    every = trade.best_legs(*boards, ship, 30.0)
+    want, few = {tuple(r) for r in trade.diversify(every, 2).collect()}, trade.best_diversified(*boards, ship, 30.0, 2)
+    assert want and {tuple(r) for r in few.drop("__rank").collect()} == want and len(want) < every.count()
+    plan = few._jdf.queryExecution().toString()
+    assert parts == 2 or "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_top_pairs_are_kept_where_they_are_found(spark):
+    ship, boards = trade.maths.Ship(), _boards(spark, *_random_boards(7))
+    every = trade.best_legs(*boards, ship, 30.0).withColumn("per_hour", F.round("per_hour", 3))
+    want = trade.top_pairs(every, "per_hour", 25).collect()
+    assert len(want) == 25 and trade.best_pairs(*boards, ship, 30.0, 25).collect() == want
+
+
+def test_boards_are_dealt_one_side_each(spark):
+    packed = trade.legs.boards(*_boards(spark, *_random_boards(8)), 30.0)
+    left, right, _ = trade.legs.dealt(packed, packed, ["id", "x", "y", "z", "asks", "pays"], sides=("asks", "pays"))
+    assert "pays" not in left.columns and "asks" not in right.columns
+    plain = b"".join(n.tobytes() for n in (np.arange(300) + 900, np.arange(300) % 50 + 1))
+    names = [f"c{k}".encode() for k in range(300)]
+    blob = trade.legs._packed(names, [np.arange(300) + 900, np.arange(300) % 50 + 1])
+    lengths, text, price, amount = trade.legs._unpacked(blob)
+    assert len(blob) < len(plain) / 4 and sorted(price.tolist()) == list(range(900, 1200)) and lengths.sum() == len(text) and amount.max() == 50
+
+
 def _cells_by_hand(points, size, reach):
     best = {}
     for a, b in itertools.combinations(points, 2):
