@@ -104,6 +104,28 @@ def test_routes_take_the_fewest_jumps():
             assert len(path) - 1 == hops and all(b in near[a] for a, b in zip(path, path[1:]))
 
 
+@pytest.mark.parametrize("count,seed,reach", [(60, 2, 22.0), (90, 5, 14.0), (400, 7, 14.0)])
+def test_fewest_jumps_take_the_shortest_way_of_all_neighbours(count, seed, reach):
+    xyz = np.array([p[1:] for p in _cloud(count, seed)], float)
+    gaps = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
+    for goal in range(1, count, 7):
+        cost, jumps = np.where(np.arange(count) == 0, 0.0, np.inf), 0
+        while cost[goal] == np.inf and jumps < count:
+            cost, jumps = np.where(gaps <= reach, cost[:, None] + gaps, np.inf).min(axis=0), jumps + 1
+        path = graph.fewest_jumps(xyz, 0, goal, reach)
+        assert (path is None) == (cost[goal] == np.inf)
+        if path:
+            assert len(path) == jumps + 1 and (path[0], path[-1]) == (0, goal) and math.isclose(sum(gaps[a, b] for a, b in zip(path, path[1:])), cost[goal])
+
+
+def test_requests_of_near_ends_share_their_stars(spark):
+    points = spark.createDataFrame(_cloud(300, 3), "address long, x double, y double, z double")
+    ends = points.where("address < 40").select(F.col("address").alias("request"), F.col("address").alias("start"), (F.col("address") + 40).alias("goal"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
+    requests = ends.join(points.toDF("goal", "bx", "by", "bz"), "goal")
+    found = graph.routes(points, requests, graph.Hop(20.0), 30.0)
+    assert found.count() == 40 and "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
+
+
 def test_fuel_plans():
     assert graph.refuel_stops([4, 4, 4], [True, False, True, True], 9.0, 1.0) == ([2], True)
     assert graph.refuel_stops([4, 4, 4], [False] * 4, 9.0, 1.0) == ([], False)
