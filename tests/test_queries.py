@@ -321,6 +321,28 @@ def test_goal_fields_of_nearest_points(spark):
     assert set(got) == set(want) and all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items())
 
 
+def test_goal_fields_take_rounds_by_blocks_not_by_links(spark, monkeypatch):
+    rng, rounds = random.Random(5), []
+    cells = [(x, y, rng.choice((0, 1))) for x in range(-30, 31) for y in range(-2, 3)]
+    ways = {(a, b): rng.uniform(1.0, 9.0) for a in cells for b in cells if a != b and max(abs(p - q) for p, q in zip(a, b)) <= 1 and rng.random() < 0.6}
+    name = lambda c: "/".join(map(str, c))
+    links = spark.createDataFrame([(name(a), name(b), ly) for (a, b), ly in ways.items()] + [("far", name(cells[0]), 2.0), ("lone", "other", 1.0)], "src string, dst string, distance_ly double")
+    goal, near = name(cells[-1]), collections.defaultdict(list)
+    for r in links.collect():
+        near[r.dst].append((r.src, r.distance_ly))
+    want, front = {goal: 0.0}, [goal]
+    while front:
+        at = front.pop()
+        for other, ly in near[at]:
+            if want[at] + ly < want.get(other, math.inf):
+                want[other] = want[at] + ly
+                front.append(other)
+    monkeypatch.setattr(graph, "settled", lambda df, f=graph.settled: rounds.append(1) or f(df))
+    got = {r.node: r.cost for r in graph.goal_field(links, goal).collect()}
+    assert got == want and len(got) > 200 and "far" in got
+    assert len(rounds) < 20  # 60 cells from end to end: once a round for each link of a way
+
+
 @pytest.mark.parametrize("count,reach,size", [(300, 9.0, 100.0), (300, 14.0, 100.0), (400, 3.0, 20.0), (40, 30.0, 400.0)])
 def test_components_of_points_need_no_links(spark, count, reach, size):
     points = [(k, x - size / 2, y - size / 2, z) for k, x, y, z in _cloud(count, count, size)] + [(0, 5 * size, 0.0, 0.0), (count, 5 * size, 0.0, reach), (count + 1, None, None, None)]
