@@ -751,3 +751,36 @@ def test_repeat_gates_against_a_loop(spark, medium):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(got) == sorted(want)
+
+
+def test_fuel_routes_of_a_lighter_tank_go_farther():
+    """Both ways to the star 3 take as long; only the one that burns more fuel leaves the ship light enough for the last jump."""
+    import pandas as pd
+
+    from astrolith.plans.graphs import ENGINE
+
+    rows = [(0, 0.0, 0.0, 0.0), (1, 25.6, 0.0, 0.0), (2, 25.6, 41.0, 0.0), (3, 51.2, 0.0, 0.0), (4, 102.7, 0.0, 0.0)]
+    frame = pd.DataFrame(rows, columns=["address", "x", "y", "z"]).assign(boost=1.0, scoop=False)
+    assert graph.solve_fuel(frame, 0, 4, ENGINE) == ([0, 2, 3, 4], 159.0, 0)
+    assert graph.solve_fuel(frame, 0, 4, ENGINE, bound=(159.0, 3)) is None and graph.solve_fuel(frame, 0, 4, ENGINE, bound=(159.0, 4))
+    apart = pd.concat([frame, frame.assign(address=frame.address + 10, x=frame.x + 500.0)])
+    assert graph.solve_fuel(apart, 0, 14, ENGINE, injections=2) is None
+
+
+def test_fuel_routes_of_a_dense_cloud_hold_little():
+    import tracemalloc
+
+    import pandas as pd
+
+    from astrolith.plans.graphs import ENGINE
+
+    rng = random.Random(5)
+    rows = [(k, rng.uniform(0, 450), rng.uniform(0, 120), rng.uniform(0, 120)) for k in range(3000)]
+    rows[0], rows[1] = (0, 0.0, 60.0, 60.0), (1, 450.0, 60.0, 60.0)
+    frame = pd.DataFrame(rows, columns=["address", "x", "y", "z"])
+    frame = frame.assign(boost=frame.address.map(lambda k: {2: 4.0, 3: 1.5}.get(k % 8, 1.0)), scoop=frame.address % 8 > 4)
+    tracemalloc.start()
+    path, seconds, used = graph.solve_fuel(frame, 0, 1, ENGINE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (len(path), seconds, used) == (5, 252.0, 0) and peak < 100e6
