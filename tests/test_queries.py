@@ -270,6 +270,29 @@ def test_best_legs_of_sources_are_kept_where_they_are_found(spark, monkeypatch,
     assert parts == 2 or "Window" not in plan and "SortMergeJoin" not in plan
 
 
+def test_rings_of_whole_holds(spark):
+    """Holds of 200 t take ten goods of 20 t each; the best legs of each station are kept where they are found."""
+    stations = [(k, float(k), 0.0, 0.0, None) for k in range(3)]
+    goods = [(k, f"{k}-{n:02}", 100, 0, 20, 0) for k in range(3) for n in range(15)] + [(k, f"{m}-{n:02}", 0, 200 - n, 0, 20) for k in range(3) for m in range(3) if m != k for n in range(15)]
+    boards, ship = _boards(spark, stations, goods), trade.maths.Ship()
+    leg = sum(20 * (100 - n) for n in range(10))
+    legs = trade.best_legs(*boards, ship, 30.0, per_pair=None).collect()
+    assert len(legs) == 6 and {(r.tons, r.profit) for r in legs} == {(200, leg)}
+    rings = {tuple(r.stations): r.profit for r in trade.best_rings(*boards, ship, 30.0, 3).collect()}
+    assert rings == {(0, 1): 2 * leg, (0, 2): 2 * leg, (1, 2): 2 * leg, (0, 1, 2): 3 * leg}
+
+
+@pytest.mark.parametrize("parts,fanout", [(8192, 6), (2, 3)])
+def test_rings_out_of_legs_that_are_kept_where_they_are_found(spark, monkeypatch, parts, fanout):
+    monkeypatch.setattr(trade.legs, "TARGETS", parts)
+    ship, boards = trade.maths.Ship(cargo=600), _boards(spark, *_random_boards(9))
+    every = trade.best_legs(*boards, ship, 30.0, per_pair=None)
+    whole, most, few = ({tuple(r) for r in df.collect()} for df in (every, *(trade.best_legs(*boards, ship, 30.0, per_pair=n) for n in (100, 4))))
+    assert whole == most != few and len(whole) == len(few)
+    want = {tuple(map(str, r)) for r in trade.rings(every, 4, fanout, beam=None).collect()}
+    assert want and {tuple(map(str, r)) for r in trade.best_rings(*boards, ship, 30.0, 4, fanout).collect()} == want
+
+
 def test_top_pairs_are_kept_where_they_are_found(spark):
     ship, boards = trade.maths.Ship(), _boards(spark, *_random_boards(7))
     every = trade.best_legs(*boards, ship, 30.0).withColumn("per_hour", F.round("per_hour", 3))
