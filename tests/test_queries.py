@@ -788,6 +788,7 @@ def test_fuel_routes_of_a_lighter_tank_go_farther():
     assert graph.solve_fuel(frame, 0, 4, ENGINE, bound=(159.0, 3)) is None and graph.solve_fuel(frame, 0, 4, ENGINE, bound=(159.0, 4))
     apart = pd.concat([frame, frame.assign(address=frame.address + 10, x=frame.x + 500.0)])
     assert graph.solve_fuel(apart, 0, 14, ENGINE, injections=2) is None
+    assert graph.solve_fuel(frame, 0, 4, graph.Engine(400.0, 1800.0, 0.0, 16.0)) is None and graph.solve_fuel(frame, 4, 4, ENGINE) == ([4], 0.0, 0)
 
 
 def test_fuel_routes_of_a_dense_cloud_hold_little():
